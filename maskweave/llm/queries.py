@@ -5,11 +5,25 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from maskweave.llm import formdup, spam, tokens
+from maskweave.llm import formdup, mixing, pieces, skeleton, spam, tokens
 from maskweave.session import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = []
+    for name, key in (("entity_models", "entity_id"), ("fixtures", "fixture_id")):
+        strange = skeleton.inconsistent(table(spark, sf_dir, name).select(key, "text"))
+        out.append(strange.select(F.lit(name).alias("tbl"), F.col(key).alias("row_id")))
+    return out[0].unionByName(out[1])
+
+
+def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    values = table(spark, sf_dir, "entity_models").select("text").unionByName(table(spark, sf_dir, "fixtures").select("text"))
+    return skeleton.groups(values)
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formdup.copies(table(spark, sf_dir, "entity_dicts"), "hit_id")
 
@@ -18,16 +32,40 @@ def p3_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formdup.records(table(spark, sf_dir, "entity_dicts"), "hit_id")
 
 
+def _configs(spark: SparkSession, sf_dir: str) -> list[pieces.Size]:
+    return pieces.configurations(table(spark, sf_dir, "app_configs"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = pieces.piece_spans(table(spark, sf_dir, "documents"), _configs(spark, sf_dir))
+    return cut.where("piece_no = 1").select("doc_id", "config_id")
+
+
+def p7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.pieces(table(spark, sf_dir, "documents"), _configs(spark, sf_dir))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, sf_dir, "documents"))
 
 
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.shares(p9_mix(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spam.spam_pages(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p3_found": p3_found, "p3_records": p3_records, "p8_ids": p8_ids, "p10_found": p10_found}
+    return {
+        f.__name__: f
+        for f in (p1_found, p1_groups, p3_found, p3_records, p7_found, p7_pieces, p8_ids, p9_mix, p9_shares, p10_found)
+    }
 
 
 _RECORD_KEYS = r"""
@@ -47,6 +85,7 @@ r AS (
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p7_found": "SELECT doc_id, config_id FROM documents, app_configs WHERE length(text) > chunk_size",
         "p3_found": _RECORD_KEYS + "SELECT first_id, hit_id AS copy_id FROM (SELECT hit_id, min(hit_id) OVER (PARTITION BY kind, body) AS first_id FROM r) WHERE hit_id <> first_id",
         "p3_records": _RECORD_KEYS + "SELECT min(hit_id) AS first_id, count(*) AS copies FROM r GROUP BY kind, body",
     }
