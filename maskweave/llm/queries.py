@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskweave.llm import addresses, formdup, mixing, pieces, skeleton, spam, tokens
+from maskweave.llm import addresses, formdup, mixing, names, pieces, skeleton, spam, tokens
 from maskweave.session import table
 
 
@@ -40,6 +40,10 @@ def p5_buildings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return addresses.building_classes(table(spark, sf_dir, "sample_maps"))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.same_name(table(spark, sf_dir, "entity_models"))
+
+
 def _configs(spark: SparkSession, sf_dir: str) -> list[pieces.Size]:
     return pieces.configurations(table(spark, sf_dir, "app_configs"))
 
@@ -72,7 +76,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (p1_found, p1_groups, p3_found, p3_records, p5_found, p5_buildings, p7_found, p7_pieces, p8_ids, p9_mix, p9_shares, p10_found)
+        for f in (p1_found, p1_groups, p3_found, p3_records, p5_found, p5_buildings, p6_found, p7_found, p7_pieces, p8_ids, p9_mix, p9_shares, p10_found)
     }
 
 
