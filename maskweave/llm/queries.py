@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskweave.llm import addresses, formdup, mixing, names, pieces, skeleton, spam, tokens
+from maskweave.llm import addresses, formdup, mixing, names, pieces, sanitise, skeleton, spam, tokens
 from maskweave.session import table
 
 
@@ -24,6 +24,25 @@ def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return skeleton.groups(values)
 
 
+def _free_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = (("people", "person_id", "notes"), ("fixtures", "fixture_id", "text"), ("entity_models", "entity_id", "type"))
+    out = [table(spark, sf_dir, t).select(F.lit(t).alias("tbl"), F.col(k).alias("row_id"), F.col(c).alias("text")) for t, k, c in fields]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+def _protected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aliases = table(spark, sf_dir, "entity_models").where("upper(type) LIKE 'ALIAS%'").select(F.col("text").alias("name"))
+    return table(spark, sf_dir, "people").select("name").unionByName(aliases)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sanitise.personal_items(_free_text(spark, sf_dir), _protected(spark, sf_dir), ["tbl", "row_id"])
+
+
+def p2_sanitised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sanitise.sanitised(_free_text(spark, sf_dir), _protected(spark, sf_dir), ["tbl", "row_id"])
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formdup.copies(table(spark, sf_dir, "entity_dicts"), "hit_id")
 
@@ -76,7 +95,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (p1_found, p1_groups, p3_found, p3_records, p5_found, p5_buildings, p6_found, p7_found, p7_pieces, p8_ids, p9_mix, p9_shares, p10_found)
+        for f in (p1_found, p1_groups, p2_found, p2_sanitised, p3_found, p3_records, p5_found, p5_buildings, p6_found, p7_found, p7_pieces, p8_ids, p9_mix, p9_shares, p10_found)
     }
 
 
