@@ -4,27 +4,536 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from maskweave.operators import rejects
+from maskweave import patterns as P
+from maskweave.functions import checksums, writing
+from maskweave.operators import chunking, detect, entities, evaluate, mapping, rejects, residual, restore, risk, spans, tables
+from maskweave.plans import oracle as O
+from maskweave.plans import pipeline
 from maskweave.session import table
 
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
 
+
+def query(sql: str | None = None, name: str | None = None) -> Callable[[Query], Query]:
+    """Registers a query and its SQL."""
+
+    def add(f: Query) -> Query:
+        key = name or f.__name__
+        _QUERIES[key] = f
+        if sql:
+            _SQL[key] = sql
+        return f
+
+    return add
+
+
+def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", "text")
+
+
+# rejected rows (problem 4)
+
+
+@query()
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rejects.rejected(table(spark, sf_dir, "people_raw"), table(spark, sf_dir, "sheets")).select("record_id")
 
 
+@query()
 def p4_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rejects.rejected(table(spark, sf_dir, "people_raw"), table(spark, sf_dir, "sheets"))
 
 
+@query()
 def p4_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rejects.load_valid(table(spark, sf_dir, "people_raw"), table(spark, sf_dir, "sheets"))
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p4_found, p4_rejected, p4_loaded)}
+# detection
+
+_COLUMNS = ["doc_id", "pattern_idx", "match_idx", "text", "type"]
+
+
+def _hits_of(types: list[str], name: str) -> None:
+    library = {t: P.PATTERNS[t] for t in types}
+
+    @query("SELECT * FROM (" + O.hits(library=library, checked=False) + ")", name)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return detect.hits(docs(spark, sf_dir), patterns=library, checked=False).select(*_COLUMNS)
+
+
+_hits_of(["EMAIL"], "hits_email")
+_hits_of(["PHONE"], "hits_phone")
+_hits_of(["IPV4_ADDRESS", "IPV6_ADDRESS", "MAC_ADDRESS"], "hits_network")
+_hits_of(["CREDIT_CARD", "CURRENCY_AMOUNT", "IBAN", "BIC_SWIFT"], "hits_finance")
+_hits_of(["URL", "DATE_ISO", "VIN", "CRYPTO_BTC", "CRYPTO_ETH"], "hits_other")
+
+
+@query("SELECT * FROM (" + O.hits(library=P.select(["US", "GB"]), checked=False) + ")")
+def hits_country_us_gb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detect.hits(docs(spark, sf_dir), countries=["US", "GB"], checked=False).select(*_COLUMNS)
+
+
+@query(O.hits())
+def hits_all_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detect.hits(docs(spark, sf_dir)).select(*_COLUMNS)
+
+
+@query(f"SELECT type, CAST(count(*) AS BIGINT) AS hits, CAST(count(DISTINCT text) AS BIGINT) AS texts FROM ({O.hits('people', 'person_id', 'notes')}) GROUP BY type")
+def hits_in_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    notes = table(spark, sf_dir, "people").select(F.col("person_id").alias("doc_id"), F.col("notes").alias("text"))
+    return detect.hits(notes).groupBy("type").agg(F.count("*").alias("hits"), F.countDistinct("text").alias("texts"))
+
+
+@query(f"SELECT lang, type, CAST(count(*) AS BIGINT) AS hits FROM ({O.hits(library={t: P.PATTERNS[t] for t in ('EMAIL', 'PHONE', 'SSN_US')})}) JOIN documents USING (doc_id) GROUP BY lang, type")
+def hits_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = detect.hits(docs(spark, sf_dir), patterns={t: P.PATTERNS[t] for t in ("EMAIL", "PHONE", "SSN_US")})
+    return found.join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id").groupBy("lang", "type").agg(F.count("*").alias("hits"))
+
+
+@query()
+def hits_with_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detect.located_hits(docs(spark, sf_dir))
+
+
+@query("SELECT type, country, CAST(priority AS INT) AS priority FROM " + O.values([(t, P.country_of(t), P.priority(t)) for t in P.PATTERNS], "v(type, country, priority)"))
+def pattern_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    types = spark.createDataFrame([(t,) for t in P.PATTERNS], "type string")
+    last = F.element_at(F.split("type", "_"), -1)
+    country = F.when(F.col("type") == "SSN", "US").when(last.isin(*P.COUNTRIES), last)
+    return types.select("type", country.alias("country"), entities.priority(F.col("type")).cast("int").alias("priority"))
+
+
+# check digits, over numbers made of keys and over the hits that the tables hold
+
+_KEYS: dict[str, tuple[Callable[[Column], Column], str, str, Callable[[Column], Column], Callable[[str], str]]] = {}
+
+
+def _keyed(name: str, check: Callable[[Column], Column], sql_check: Callable[[str], str], spark_value: str, sql_value: str | None = None) -> None:
+    """The check over a number made of o_orderkey; the same expression is SQL in both engines unless one is given."""
+    sql_value = sql_value or spark_value
+
+    @query(f"SELECT o_orderkey, v AS value, {sql_check('v')} AS ok FROM (SELECT o_orderkey, {sql_value} AS v FROM orders)", f"check_{name}")
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        made = table(spark, sf_dir, "orders").select("o_orderkey", F.expr(spark_value).alias("value"))
+        return made.select("o_orderkey", "value", check(F.col("value")).alias("ok"))
+
+
+_S = "CAST(o_orderkey AS STRING)"
+_keyed("luhn", checksums.luhn, O.luhn, f"concat('4', lpad({_S}, 15, '7'))", "'4' || lpad(CAST(o_orderkey AS VARCHAR), 15, '7')")
+_keyed("verhoeff", checksums.verhoeff, O.verhoeff, f"lpad({_S}, 12, '3')", "lpad(CAST(o_orderkey AS VARCHAR), 12, '3')")
+_keyed("card", checksums.credit_card, O.CHECKS["CREDIT_CARD"], f"concat('4111 1111 1', lpad({_S}, 7, '0'))", "'4111 1111 1' || lpad(CAST(o_orderkey AS VARCHAR), 7, '0')")
+_keyed("npi", checksums.npi, O.CHECKS["MEDICAL_NPI_US"], f"lpad({_S}, 10, '1')", "lpad(CAST(o_orderkey AS VARCHAR), 10, '1')")
+_keyed("sin", checksums.sin_ca, O.CHECKS["SIN_CA"], f"lpad({_S}, 9, '0')", "lpad(CAST(o_orderkey AS VARCHAR), 9, '0')")
+_keyed("iban", checksums.iban, O.iban, f"concat('DE', lpad(CAST(o_orderkey % 98 AS STRING), 2, '0'), lpad({_S}, 18, '5'))", "'DE' || lpad(CAST(o_orderkey % 98 AS VARCHAR), 2, '0') || lpad(CAST(o_orderkey AS VARCHAR), 18, '5')")
+_keyed("vin", checksums.vin, O.vin, f"concat('1HGCM826', CAST(o_orderkey % 10 AS STRING), 'A', lpad({_S}, 7, '0'))", "'1HGCM826' || CAST(o_orderkey % 10 AS VARCHAR) || 'A' || lpad(CAST(o_orderkey AS VARCHAR), 7, '0')")
+_keyed("dni", checksums.dni_es, O.dni, f"concat(lpad({_S}, 8, '0'), char(65 + o_orderkey % 26))", "lpad(CAST(o_orderkey AS VARCHAR), 8, '0') || chr(CAST(65 + o_orderkey % 26 AS INT))")
+_keyed("nie", checksums.nie_es, O.nie, f"concat(char(88 + o_orderkey % 3), lpad({_S}, 7, '0'), char(65 + o_orderkey % 26))", "chr(CAST(88 + o_orderkey % 3 AS INT)) || lpad(CAST(o_orderkey AS VARCHAR), 7, '0') || chr(CAST(65 + o_orderkey % 26 AS INT))")
+_keyed("cn_id", checksums.resident_id_cn, O.cn, f"concat('1101051990', lpad({_S}, 7, '0'), if(o_orderkey % 11 = 10, 'X', CAST(o_orderkey % 11 AS STRING)))", "'1101051990' || lpad(CAST(o_orderkey AS VARCHAR), 7, '0') || CASE WHEN o_orderkey % 11 = 10 THEN 'X' ELSE CAST(o_orderkey % 11 AS VARCHAR) END")
+_keyed("aadhaar", checksums.aadhaar_in, O.aadhaar, f"concat('2341', lpad({_S}, 8, '0'))", "'2341' || lpad(CAST(o_orderkey AS VARCHAR), 8, '0')")
+_keyed("cpf", checksums.cpf_br, O.cpf, f"lpad({_S}, 11, '1')", "lpad(CAST(o_orderkey AS VARCHAR), 11, '1')")
+_keyed("codice", checksums.codice_fiscale_it, O.codice, f"concat('RSSMRA', lpad(CAST(o_orderkey % 100 AS STRING), 2, '0'), 'M01H', lpad(CAST(o_orderkey % 1000 AS STRING), 3, '0'), char(65 + o_orderkey % 26))", "'RSSMRA' || lpad(CAST(o_orderkey % 100 AS VARCHAR), 2, '0') || 'M01H' || lpad(CAST(o_orderkey % 1000 AS VARCHAR), 3, '0') || chr(CAST(65 + o_orderkey % 26 AS INT))")
+_keyed("pesel", checksums.pesel_pl, O.pesel, f"lpad({_S}, 11, '4')", "lpad(CAST(o_orderkey AS VARCHAR), 11, '4')")
+
+
+@query(f"SELECT hit_id, text, CASE WHEN type = 'IBAN' THEN {O.iban('text')} ELSE {O.CHECKS['CREDIT_CARD']('text')} END AS ok FROM entity_dicts WHERE type IN ('IBAN', 'CREDIT_CARD') AND text IS NOT NULL")
+def checked_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = table(spark, sf_dir, "entity_dicts").where("type IN ('IBAN', 'CREDIT_CARD') AND text IS NOT NULL")
+    return t.select("hit_id", "text", checksums.passes(F.col("type"), F.col("text"), ["IBAN", "CREDIT_CARD"]).alias("ok"))
+
+
+# entities
+
+
+def _entities(spark: SparkSession, sf_dir: str, **kw: object) -> DataFrame:
+    d = docs(spark, sf_dir)
+    return entities.finalised(detect.hits(d), d, **kw)
+
+
+@query(O.with_hits(O.ENTITIES + "SELECT doc_id, ord, text, type FROM e0"))
+def entities_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _entities(spark, sf_dir).select("doc_id", "ord", "text", "type")
+
+
+_FILTER = ["DRIVERS_LICENSE", "DATE", "EMAIL", "IBAN", "PASSPORT"]
+_FILTER_SQL = " OR ".join(f"t = '{x}' OR starts_with(t, '{x}_') OR ends_with(t, '_{x}') OR p = '{x}' OR starts_with(p, '{x}_') OR ends_with(p, '_{x}')" for x in _FILTER)
+
+
+@query(O.with_hits(O.ENTITIES + f"SELECT doc_id, text, type FROM (SELECT *, type AS t, CASE WHEN ends_with(type, '_LIKE') THEN left(type, length(type) - 5) ELSE type END AS p FROM d) WHERE {_FILTER_SQL}"))
+def entities_type_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _entities(spark, sf_dir, types=_FILTER).select("doc_id", "text", "type")
+
+
+_DENY = ["consent form", "VOICE MEMO", "Größholm", "no such phrase"]
+
+
+@query(
+    O.with_hits(
+        O.ENTITIES
+        + "SELECT p.doc_id, p.text, 'CUSTOM' AS type FROM (SELECT doc_id, substr(text, strpos(lower(text), lower(w)), length(w)) AS text FROM documents, "
+        + O.values([(w,) for w in _DENY], "v(w)")
+        + " WHERE strpos(lower(text), lower(w)) > 0) p ANTI JOIN d ON d.doc_id = p.doc_id AND lower(d.text) = lower(p.text)"
+    )
+)
+def deny_added(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = docs(spark, sf_dir)
+    return detect.denied(d, entities.distinct_entities(detect.hits(d)), _DENY).select("doc_id", "text", "type")
+
+
+_KEEP = ["ok", "2020", "INFO", "GMBH", "555"]
+
+
+@query(O.with_hits(O.ENTITIES + f"SELECT doc_id, text, type FROM d WHERE lower(text) NOT IN ({', '.join(O.q(k.lower()) for k in _KEEP)})"))
+def keep_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = docs(spark, sf_dir)
+    return detect.kept_out(entities.distinct_entities(detect.hits(d)), _KEEP).select("doc_id", "text", "type")
+
+
+@query(O.with_hits(O.ENTITIES + "SELECT doc_id, ord, text, base_form FROM e"))
+def base_form_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _entities(spark, sf_dir).select("doc_id", "ord", "text", "base_form")
+
+
+# maps
+
+
+def _mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mapping.numbered(_entities(spark, sf_dir))
+
+
+_M = O.ENTITIES + "," + O.MAPPING
+
+
+@query(O.with_hits(_M + "SELECT doc_id, ord, original, written, type, base_form FROM m"))
+def mapping_numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mapping(spark, sf_dir).drop("seen")
+
+
+@query(O.with_hits(_M + "SELECT doc_id, ord, original, written, type, base_form FROM m"))
+def mapping_folded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ordered fold gives the same numbers where base forms come from patterns."""
+    return mapping.folded(_entities(spark, sf_dir)).drop("seen")
+
+
+@query(O.with_hits(_M + "SELECT doc_id, written, arg_max(original, ord) AS original FROM m GROUP BY doc_id, written"))
+def mapping_inverted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mapping.inverted(_mapping(spark, sf_dir))
+
+
+_H = "'H_' || left(sha256(original), 16)"
+
+
+@query(O.with_hits(_M + "SELECT doc_id, type, CAST(max(CAST(regexp_extract(written, '^[A-Z][A-Z0-9_]*_([0-9]+)', 1) AS INT)) AS INT) AS n FROM (SELECT doc_id, written, regexp_extract(written, '^([A-Z][A-Z0-9_]*)_[0-9]+', 1) AS type FROM m) GROUP BY doc_id, type"))
+def mapping_seed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mapping.seed_counts(_mapping(spark, sf_dir))
+
+
+# a map given from placeholder to original, made of the roster
+_PAIRS = "(SELECT sheet_id AS doc_id, person_id AS ord, 'PERSON_' || row_no AS key, name AS value FROM people WHERE name IS NOT NULL)"
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "people").where("name is not null")
+    return p.select(F.col("sheet_id").alias("doc_id"), F.col("person_id").alias("ord"), F.concat(F.lit("PERSON_"), "row_no").alias("key"), F.col("name").alias("value"))
+
+
+@query(f"SELECT doc_id, value AS original, arg_min(key, ord) AS written FROM {_PAIRS} GROUP BY doc_id, value")
+def mapping_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mapping.oriented(_pairs(spark, sf_dir))
+
+
+@query(f"SELECT doc_id, key AS written, first_value(key) OVER (PARTITION BY doc_id, value ORDER BY ord) AS canonical, value AS original FROM {_PAIRS}")
+def mapping_consolidated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mapping.consolidated(_pairs(spark, sf_dir).select("doc_id", "ord", F.col("key").alias("written"), F.col("value").alias("original")))
+
+
+@query(O.with_hits(_M + f"SELECT doc_id, count(*) AS n_originals FROM (SELECT doc_id, {_H} AS w FROM m GROUP BY doc_id, original, w) GROUP BY doc_id"))
+def mapping_hash_operator(spark: SparkSession, sf_dir: str) -> DataFrame:
+    every = {t: "hash" for t in P.PATTERNS}
+    m = mapping.written_by_operator(_mapping(spark, sf_dir), every)
+    return m.where("written like 'H~_%' escape '~'").groupBy("doc_id").agg(F.countDistinct("original").alias("n_originals"))
+
+
+@query()
+def mapping_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mapping.corpus_numbered(_entities(spark, sf_dir))
+
+
+# write operators, over the hits and dates that the tables hold
+
+_HITS = "(SELECT hit_id, text, type FROM entity_dicts WHERE text IS NOT NULL)"
+
+
+def _values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "entity_dicts").where("text is not null").select("hit_id", "text", "type")
+
+
+@query(f"SELECT hit_id, 'H_' || left(sha256(text), 16) AS written FROM {_HITS}")
+def op_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _values(spark, sf_dir).select("hit_id", writing.hashed(F.col("text")).alias("written"))
+
+
+def _keep_last_sql(c: str) -> str:
+    n = f"length(regexp_replace({c}, '[^0-9]', '', 'g'))"
+    left = f"length(regexp_replace(substr({c}, i), '[^0-9]', '', 'g'))"
+    ch = f"substr({c}, i, 1)"
+    return f"array_to_string(list_transform(range(1, length({c}) + 1), lambda i: CASE WHEN regexp_full_match({ch}, '\\pL') THEN '*' WHEN {ch} BETWEEN '0' AND '9' AND ({n} <= 4 OR {left} > 4) THEN '*' ELSE {ch} END), '')"
+
+
+@query(f"SELECT hit_id, {_keep_last_sql('text')} AS written FROM {_HITS} WHERE type IN ('PHONE', 'IBAN', 'CREDIT_CARD', 'SSN_US', 'SSN')")
+def op_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chosen = _values(spark, sf_dir).where("type IN ('PHONE', 'IBAN', 'CREDIT_CARD', 'SSN_US', 'SSN')")
+    return chosen.select("hit_id", writing.mask(F.col("text"), F.col("type")).alias("written"))
+
+
+_DOM = "substr(text, strpos(text, '@') + 1)"
+
+
+@query(
+    f"SELECT hit_id, left(text, strpos(text, '@') - 1)[1:1] || '***@' || CASE WHEN contains({_DOM}, '.') THEN regexp_extract({_DOM}, '(?s)^(.*)\\.[^.]*$', 1)[1:1] || '***.' || string_split({_DOM}, '.')[-1] ELSE {_DOM}[1:1] || '***' END AS written FROM {_HITS} WHERE type = 'EMAIL' AND contains(text, '@')"
+)
+def op_mask_email(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _values(spark, sf_dir).where("type = 'EMAIL' AND contains(text, '@')").select("hit_id", writing.mask_email(F.col("text")).alias("written"))
+
+
+@query("SELECT o_orderkey, CAST(year(o_orderdate) AS VARCHAR) AS written FROM orders")
+def op_generalize_date(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = table(spark, sf_dir, "orders")
+    return t.select("o_orderkey", writing.generalize(F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"), F.lit("DATE_ISO")).alias("written"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size > 89 THEN '90+' ELSE (p_size // 10 * 10) || '-' || (p_size // 10 * 10 + 9) END AS written FROM part")
+def op_age_band(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", writing.generalize(F.col("p_size").cast("string"), F.lit("AGE")).alias("written"))
+
+
+@query("SELECT o_orderkey, left(lpad(CAST(o_orderkey % 100000 AS VARCHAR), 5, '0'), 3) || '**' AS written FROM orders")
+def op_generalize_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select("o_orderkey", writing.generalize(F.lpad((F.col("o_orderkey") % 100000).cast("string"), 5, "0"), F.lit("ADDRESS")).alias("written"))
+
+
+_SHA = f"sha256('{writing.SHIFT_SALT}:' || o_custkey)"
+_HEX = lambda s, n: " + ".join(f"(strpos('0123456789abcdef', substr({s}, {i}, 1)) - 1) * {16 ** (n - i)}" for i in range(1, n + 1))
+
+
+@query(f"SELECT o_orderkey, strftime(CAST(o_orderdate AS DATE) + CAST((({_HEX(_SHA, 4)}) % 365 - 182) AS INT), '%Y-%m-%d') AS written FROM orders")
+def op_shift_date(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = table(spark, sf_dir, "orders")
+    return t.select("o_orderkey", writing.shift(F.date_format("o_orderdate", "yyyy-MM-dd"), F.col("o_custkey").cast("string")).alias("written"))
+
+
+def _fake_sql(kind: str) -> str:
+    sha = f"sha256('{writing.FAKE_SECRET}:{kind}:' || o_orderkey)"
+    return "(" + " + ".join(f"(strpos('0123456789abcdef', substr({sha}, {i}, 1)) - 1)::HUGEINT * {16 ** (16 - i)}::HUGEINT" for i in range(1, 17)) + ")"
+
+
+@query(
+    f"SELECT o_orderkey, '000-00-' || lpad(CAST({_fake_sql('SSN')} % 10000 AS VARCHAR), 4, '0') AS ssn, '203.0.113.' || CAST({_fake_sql('IP_ADDRESS')} % 254 + 1 AS VARCHAR) AS ip, 'GB00FAKE' || lpad(CAST({_fake_sql('IBAN')} % 10000000000 AS VARCHAR), 10, '0') AS iban FROM orders"
+)
+def op_fake_structured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderkey").cast("string").alias("k"))
+    made = {"ssn": "SSN", "ip": "IP_ADDRESS", "iban": "IBAN"}
+    return t.select("o_orderkey", *[writing.fake(F.col("k"), F.lit(v), F.col("k")).alias(k) for k, v in made.items()])
+
+
+# rewriting and restoring
+
+
+def _masked(spark: SparkSession, sf_dir: str, **kw: object) -> pipeline.Masked:
+    return pipeline.anonymize(docs(spark, sf_dir), **kw)
+
+
+@query()
+def masked_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _masked(spark, sf_dir).docs
+
+
+@query()
+def chosen_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = docs(spark, sf_dir)
+    return spans.chosen_spans(d, entities.distinct_entities(detect.hits(d)))
+
+
+@query("SELECT doc_id, text FROM documents")
+def restored_equals_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Masking by labels and restoring gives every text back; labels that a text holds already are masked first."""
+    m = _masked(spark, sf_dir)
+    out, _, _ = pipeline.deanonymize(m.docs, mapping.inverted(m.mapping))
+    return out
+
+
+@query()
+def unused_placeholders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = _masked(spark, sf_dir)
+    inverse = mapping.inverted(m.mapping)
+    return restore.unused_labels(inverse, restore.restored(m.docs, inverse))
+
+
+@query("SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '[A-Z_]+_[0-9]+(?:\\.v_[0-9]+)?'))) AS label FROM documents")
+def unknown_placeholders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Against an empty map, everything in the texts that looks like a placeholder is unknown."""
+    d = docs(spark, sf_dir)
+    none = spark.createDataFrame([], "doc_id long, used array<string>")
+    return restore.unknown_labels(d, none)
+
+
+@query(O.with_hits("x AS (SELECT 1) SELECT DISTINCT doc_id, trim(text) AS text, type FROM h0 WHERE NOT regexp_full_match(trim(text), '[A-Z_]+_[0-9]+(\\.v_[0-9]+)?')"))
+def residual_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residual.leftovers(docs(spark, sf_dir)).select("doc_id", "text", "type").distinct()
+
+
+@query()
+def residual_after_masking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    masked = _masked(spark, sf_dir).docs
+    return residual.leftover_report(masked, residual.leftovers(masked)).select("doc_id", "residual_count")
+
+
+# risk, over texts of placeholders made of keys
+
+_RISK_SPARK = """concat('PERSON_', o_custkey % 7 + 1, if(o_orderkey % 2 = 0, ' of ORGANIZATION_1', ''), if(o_orderkey % 3 = 0, ' in LOCATION_2', ''), '\\n\\n',
+  if(o_orderkey % 5 = 0, 'INDIRECT_1 was here\\n \\n', ''), 'On DATE_', o_orderkey % 3 + 1, if(o_orderkey % 4 = 0, ' PERSON_1.v_2', ''), ' EMAIL_1', '\\n\\n', 'JOB_TITLE_1 and AGE_', o_orderkey % 2 + 1)"""
+_RISK_SQL = """'PERSON_' || (o_custkey % 7 + 1) || CASE WHEN o_orderkey % 2 = 0 THEN ' of ORGANIZATION_1' ELSE '' END || CASE WHEN o_orderkey % 3 = 0 THEN ' in LOCATION_2' ELSE '' END || E'\\n\\n' ||
+  CASE WHEN o_orderkey % 5 = 0 THEN E'INDIRECT_1 was here\\n \\n' ELSE '' END || 'On DATE_' || (o_orderkey % 3 + 1) || CASE WHEN o_orderkey % 4 = 0 THEN ' PERSON_1.v_2' ELSE '' END || ' EMAIL_1' || E'\\n\\n' || 'JOB_TITLE_1 and AGE_' || (o_orderkey % 2 + 1)"""
+_QUASI = "[" + ", ".join(O.q(x) for x in risk.QUASI) + "]"
+_CORE = "[" + ", ".join(O.q(x) for x in risk.CORE) + "]"
+_RISK = f"""WITH t AS (SELECT o_orderkey AS doc_id, {_RISK_SQL} AS text FROM orders),
+w AS (SELECT doc_id, unnest(list_filter(list_transform(regexp_split_to_array(text, '\\n\\s*\\n'), lambda x: trim(x)), lambda x: x <> '')) AS passage FROM t),
+l AS (SELECT doc_id, passage, list_sort(list_distinct(regexp_extract_all(passage, '\\b[A-Z][A-Z0-9_]*_[0-9]+(?:\\.v_[0-9]+)?'))) AS placeholders FROM w),
+y AS (SELECT *, list_distinct(list_transform(placeholders, lambda p: regexp_replace(regexp_replace(p, '\\.v_[0-9]+$', ''), '_[0-9]+$', ''))) AS all_types FROM l),
+z AS (SELECT *, list_sort(list_intersect(all_types, {_QUASI})) AS types, len(list_intersect(all_types, {_CORE})) AS core FROM y),
+s AS (SELECT *, CASE WHEN list_contains(all_types, 'INDIRECT') OR list_has_all(all_types, ['JOB_TITLE', 'ORGANIZATION', 'LOCATION']) OR list_has_all(all_types, ['PERSON', 'ORGANIZATION', 'LOCATION'])
+       OR list_has_all(all_types, ['PERSON', 'JOB_TITLE', 'ORGANIZATION']) OR core >= 3 THEN 'high'
+       WHEN core >= 2 OR (list_contains(all_types, 'PERSON') AND list_has_any(all_types, ['DATE', 'DATE_ISO', 'AGE'])) THEN 'medium' ELSE 'low' END AS level0 FROM z WHERE len(types) > 0),
+r AS (SELECT doc_id, types, placeholders, CASE WHEN level0 = 'low' AND len(types) >= 2 AND count(*) OVER (PARTITION BY doc_id, placeholders) = 1 THEN 'medium' ELSE level0 END AS level FROM s)
+"""
+
+
+def _risky(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.expr(_RISK_SPARK).alias("text"))
+
+
+@query(_RISK + "SELECT doc_id, level, array_to_string(types, ',') AS types, array_to_string(placeholders, ',') AS placeholders FROM r")
+def risk_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = risk.risk_windows(_risky(spark, sf_dir))
+    return w.select("doc_id", "level", F.array_join("types", ",").alias("types"), F.array_join("placeholders", ",").alias("placeholders"))
+
+
+@query(
+    _RISK
+    + "SELECT doc_id, CASE WHEN bool_or(level = 'high') THEN 'high' WHEN bool_or(level = 'medium') THEN 'medium' ELSE 'low' END AS overall, count(*) AS window_count, count(*) FILTER (level = 'high') AS high_count, count(*) FILTER (level = 'medium') AS medium_count, count(*) FILTER (level = 'low') AS low_count FROM r GROUP BY doc_id"
+)
+def risk_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _risky(spark, sf_dir)
+    return risk.risk_summary(risk.risk_windows(t), t)
+
+
+@query("SELECT doc_id, CAST(sum(CASE WHEN length(text) > 0 THEN (length(text) - 1) // 600 + 1 ELSE 0 END) AS BIGINT) AS passages FROM (SELECT doc_id, replace(text, chr(10), ' ') AS text FROM documents WHERE text IS NOT NULL AND length(text) > 800 AND regexp_full_match(text, '[^\\s]+( [^\\s]+)*')) GROUP BY doc_id")
+def risk_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long texts of one paragraph are cut every 600 characters."""
+    t = docs(spark, sf_dir).where(F.length("text") > 800).where(F.col("text").rlike(r"^[^\t\n\f\r ]+( [^\t\n\f\r ]+)*$"))
+    return t.select("doc_id", F.size(risk.passages(F.col("text"))).cast("long").alias("passages"))
+
+
+# evaluation
+
+_GOLD = "(SELECT doc_id, text, upper(trim(type)) AS type, start_pos, end_pos, lower(trim(text)) AS t FROM entity_dicts WHERE text IS NOT NULL)"
+_DIRECT = ", ".join(O.q(x) for x in evaluate.DIRECT)
+_QUASI_T = ", ".join(O.q(x) for x in evaluate.QUASI)
+_EVAL = f"""WITH g AS (SELECT *, CASE WHEN type IN ({_DIRECT}) OR starts_with(type, 'SSN') THEN 'direct' WHEN type IN ({_QUASI_T}) THEN 'quasi' ELSE 'other' END AS kind, 1 AS is_gold FROM (
+  SELECT doc_id, text, type, start_pos, end_pos, hit_id FROM entity_dicts WHERE text IS NOT NULL AND hit_id % 5 <> 1)),
+p AS (SELECT *, CASE WHEN type IN ({_DIRECT}) OR starts_with(type, 'SSN') THEN 'direct' WHEN type IN ({_QUASI_T}) THEN 'quasi' ELSE 'other' END AS kind, 0 AS is_gold FROM (
+  SELECT doc_id, text, upper(type) AS type, start_pos, end_pos, hit_id FROM entity_dicts WHERE text IS NOT NULL AND hit_id % 5 <> 2)),
+g2 AS (SELECT doc_id, text, upper(type) AS type, start_pos, end_pos, hit_id, CASE WHEN upper(type) IN ({_DIRECT}) OR starts_with(upper(type), 'SSN') THEN 'direct' WHEN upper(type) IN ({_QUASI_T}) THEN 'quasi' ELSE 'other' END AS kind, 1 AS is_gold FROM g),
+s AS (SELECT * FROM g2 UNION ALL BY NAME SELECT * FROM p),
+x AS (SELECT *, lower(trim(text, ' ')) AS lt, unnest(['all', kind]) AS grp FROM s),
+mk AS (SELECT grp, doc_id, start_pos, end_pos, lt, sum(is_gold) AS g, sum(1 - is_gold) AS p FROM x WHERE grp <> 'other' GROUP BY ALL),
+ek AS (SELECT grp, doc_id, kind, lt, max(is_gold) AS g, max(1 - is_gold) AS p FROM x WHERE grp <> 'other' GROUP BY ALL),
+u AS (SELECT grp AS kind, 'mention' AS level, sum(CASE WHEN g > 0 AND p > 0 THEN 1 ELSE 0 END) AS tp, sum(p) AS pred, sum(g) AS gold FROM mk GROUP BY grp
+      UNION ALL SELECT grp, 'entity', sum(CASE WHEN g > 0 AND p > 0 THEN 1 ELSE 0 END), sum(p), sum(g) FROM ek GROUP BY grp)
+SELECT kind, level, CAST(tp AS BIGINT) AS true_positives, CAST(pred AS BIGINT) AS predicted, CAST(gold AS BIGINT) AS gold, tp / pred AS precision, tp / gold AS recall, 2 * (tp / pred) * (tp / gold) / (tp / pred + tp / gold) AS f1 FROM u"""
+
+
+@query(_EVAL)
+def eval_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = table(spark, sf_dir, "entity_dicts").where("text is not null")
+    m = t.select("doc_id", "text", "type", F.lit(None).cast("string").alias("kind"), "start_pos", "end_pos", F.col("text").alias("base_form"), "hit_id")
+    return evaluate.scores(m.where("hit_id % 5 <> 1"), m.where("hit_id % 5 <> 2"))
+
+
+# tables: the roster as cells
+
+_ROSTER = ["name", "email", "ssn", "phone", "notes", "city", "id", "formula", "concat", "empty_col"]
+_CELLS = (
+    "(SELECT sheet_id AS doc_id, row, col, coalesce(v, '') AS search_text FROM (SELECT sheet_id, row_number() OVER (PARTITION BY sheet_id ORDER BY person_id) AS row, "
+    + f"unnest([{', '.join(_ROSTER)}]) AS v, unnest(range(1, 11)) AS col FROM people))"
+)
+
+
+def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.roster_cells(table(spark, sf_dir, "people"), ["sheet_id", "person_id"], _ROSTER)
+
+
+def _sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "people").groupBy(F.col("sheet_id").alias("doc_id")).agg(F.lit("Sheet1").alias("sheet"), F.lit(1).alias("sheet_no"), F.count("*").cast("int").alias("max_row"), F.lit(len(_ROSTER)).alias("max_column"))
+
+
+@query(f"SELECT doc_id, CAST(row AS INT) AS row, CAST(col AS INT) AS col, CASE WHEN search_text = '' THEN 'empty' WHEN starts_with(search_text, '=') THEN 'formula' ELSE 'text' END AS kind FROM {_CELLS}")
+def cells_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cells(spark, sf_dir).select("doc_id", "row", "col", "kind")
+
+
+@query(
+    f"WITH c AS (SELECT doc_id, col, CASE WHEN search_text <> '' AND NOT starts_with(search_text, '=') AND trim(search_text) <> '' THEN trim(search_text) END AS head FROM {_CELLS} WHERE row = 1), "
+    "f AS (SELECT doc_id, count(head) = 10 AND count(DISTINCT lower(head)) = 10 AS whole FROM c GROUP BY doc_id) SELECT doc_id, CAST(col AS INT) AS col, CASE WHEN whole THEN head ELSE 'Col ' || chr(CAST(64 + col AS INT)) END AS label FROM c JOIN f USING (doc_id)"
+)
+def header_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.header_labels(_cells(spark, sf_dir), _sheets(spark, sf_dir)).select("doc_id", "col", "label")
+
+
+@query(
+    f"WITH l AS (SELECT doc_id, row, string_agg(search_text, ' | ' ORDER BY col) AS line FROM {_CELLS} GROUP BY doc_id, row) SELECT doc_id, E'# Sheet: Sheet1\\n\\n' || string_agg(line || E'\\n\\n', '' ORDER BY row) AS text FROM l GROUP BY doc_id"
+)
+def cells_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.flattened(_cells(spark, sf_dir), _sheets(spark, sf_dir))
+
+
+@query("SELECT n, CASE WHEN n > 702 THEN chr(CAST(65 + (n - 703) // 676 AS INT)) ELSE '' END || CASE WHEN n > 26 THEN chr(CAST(65 + (n - 27) // 26 % 26 AS INT)) ELSE '' END || chr(CAST(65 + (n - 1) % 26 AS INT)) AS letters FROM (SELECT CAST(p_partkey AS INT) AS n FROM part WHERE p_partkey BETWEEN 1 AND 16384)")
+def column_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").where("p_partkey BETWEEN 1 AND 16384").select(F.col("p_partkey").cast("int").alias("n")).select("n", tables.column_letter(F.col("n")).alias("letters"))
+
+
+@query()
+def masked_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pipeline.anonymize_tables(_cells(spark, sf_dir)).docs.select("doc_id", "row", "col", "search_text")
+
+
+@query()
+def table_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells, sheets = _cells(spark, sf_dir), _sheets(spark, sf_dir)
+    return tables.model_batches(cells, tables.header_labels(cells, sheets), sheets, 4000)
+
+
+# chunks
+
+
+@query("SELECT doc_id, CAST(i AS INT) AS chunk_idx, substr(text, CAST(i * 600 + 1 AS INT), 800) AS text FROM (SELECT doc_id, text, unnest(range((length(text) - 1) // 600 + 1)) AS i FROM documents WHERE length(text) > 0)")
+def chunks_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return docs(spark, sf_dir).select("doc_id", F.posexplode(chunking.fixed(F.col("text"), 800, 600)).alias("chunk_idx", "text"))
+
+
+@query()
+def chunks_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.chunks(docs(spark, sf_dir), 900, 120)
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
