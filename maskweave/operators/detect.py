@@ -16,7 +16,9 @@ def hits(docs: DataFrame, doc: str = "doc_id", text: str = "text", patterns: dic
     """(doc, chunk_idx, stage, pattern_idx, match_idx, text, type, base_form): every match of every pattern.
 
     One narrow stage of JVM expressions: each pattern's matches make an array,
-    and one generator unfolds them all.  Matches of white space only are left
+    and one generator unfolds them all.  The words that one-word patterns can
+    match are cut out in a single scan, and each of those patterns looks at them
+    only; other patterns are tried where a quick test lets them match.  Matches of white space only are left
     out.  With ``checked``, a match that fails its type's check digit becomes
     ``<TYPE>_LIKE``.  Null texts have no hits.  Patterns that the country list
     leaves out are not built.
@@ -27,12 +29,25 @@ def hits(docs: DataFrame, doc: str = "doc_id", text: str = "text", patterns: dic
         return docs.sparkSession.createDataFrame([], f"{doc} {kind}, chunk_idx long, stage int, pattern_idx int, match_idx int, text string, type string, base_form string")
 
     def found(i: int, type_: str, pattern: str) -> Column:
-        matches = F.regexp_extract_all(F.col("_text"), F.lit(P.java(pattern, type_)), F.lit(0))
+        word = P.one_word(pattern)
+        if word is None:
+            matches = F.regexp_extract_all(F.col("_text"), F.lit(P.java(pattern, type_)), F.lit(0))
+            if quick := P.needs(type_, pattern):
+                plain = quick.isalnum() or quick == "@"
+                there = F.col("_text").contains(quick) if plain else F.col("_text").rlike(quick)
+                matches = F.when(there, matches).otherwise(F.array().cast("array<string>"))
+        elif sized := P.lengths(word):
+            only_digits, least, most = sized
+            matches = F.filter("_numbers" if only_digits else "_words", lambda w: F.length(w).between(least, most))
+        else:
+            matches = F.filter("_words", lambda w: w.rlike(f"^(?:{word})$"))
         return F.transform(matches, lambda m, k: F.struct(F.lit(i).alias("p"), k.cast("int").alias("k"), m.alias("t")))
 
     chunk_idx = F.lit(0) if chunk is None else F.col(chunk)
     every = F.concat(*[found(i, t, p) for i, (t, p) in enumerate(library.items())]) if len(library) > 1 else found(0, *next(iter(library.items())))
     rows = docs.select(F.col(doc).alias("_doc"), chunk_idx.cast("long").alias("chunk_idx"), F.col(text).alias("_text")).where("_text is not null")
+    rows = rows.withColumn("_words", F.regexp_extract_all("_text", F.lit(P.ONE_WORD), F.lit(0)))
+    rows = rows.withColumn("_numbers", F.filter("_words", lambda w: w.rlike("^[0-9]+$")))
     one = rows.select("_doc", "chunk_idx", F.explode(every).alias("h"))
     names = F.array(*[F.lit(t.upper()) for t in library])
     out = one.select("_doc", "chunk_idx", F.col("h.p").alias("pattern_idx"), F.col("h.k").alias("match_idx"), F.col("h.t").alias("text"), names[F.col("h.p")].alias("type"))

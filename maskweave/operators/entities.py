@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from maskweave import patterns as P
 from maskweave.operators.detect import denied, kept_out, type_allowed
+from maskweave.session import staged
 
 ORDER = ("chunk_idx", "stage", "pattern_idx", "match_idx")
 
@@ -35,13 +36,26 @@ def distinct_entities(hits: DataFrame, doc: str = "doc_id") -> DataFrame:
     return out.select(doc, "first", "text", F.col("best.type").alias("type"), F.col("best.base_form").alias("base_form"))
 
 
+#: Documents with more entities than this are merged by a join of grams instead of inside one row.
+ROW_ENTITIES = 1_000
+GRAM = 4
+
+
 def merged_bases(entities: DataFrame, doc: str = "doc_id", seeds: list[str] | None = None) -> DataFrame:
     """(doc, ord, text, type, base_form): each base form replaced by the longest other one of the document that contains it.
 
     Ties of length go to the smaller text.  ``seeds`` are more base forms that
-    hold for every document.  The entities of one document meet in one row,
-    which its text bounds, and are unfolded again; nothing is joined.
+    hold for every document.  The entities of a document with at most
+    ROW_ENTITIES meet in one row and are unfolded again; those of larger ones
+    (whole tables) are joined.  Both ways give the same.  The entities are written
+    to the shared folder for that, so it must be as private as the texts.
     """
+    sized = staged(entities.withColumn("_n", F.count("*").over(W.partitionBy(doc))), "entities")  # read several times, found once
+    small = _merged_in_rows(sized.where(F.col("_n") <= ROW_ENTITIES), doc, seeds)
+    return small.unionByName(_merged_by_grams(sized.where(F.col("_n") > ROW_ENTITIES), doc, seeds))
+
+
+def _merged_in_rows(entities: DataFrame, doc: str, seeds: list[str] | None) -> DataFrame:
     one = entities.groupBy(doc).agg(F.collect_list(F.struct("ord", "text", "type", "base_form")).alias("_e"))
     forms = F.filter(F.array_distinct(F.transform("_e", lambda e: e["base_form"])), lambda f: f != "")
     if seeds:
@@ -57,6 +71,25 @@ def merged_bases(entities: DataFrame, doc: str = "doc_id", seeds: list[str] | No
     return one.select(doc, F.inline(F.transform("_e", merged)))
 
 
+def _merged_by_grams(entities: DataFrame, doc: str, seeds: list[str] | None) -> DataFrame:
+    """The same by a join: what contains a form holds the form's rarest gram too."""
+    forms = entities.where("base_form <> ''").select(F.col(doc).alias("_d"), F.col("base_form").alias("_f")).distinct()
+    if seeds:
+        every = F.explode(F.array(*[F.lit(s) for s in seeds])).alias("_f")
+        forms = forms.unionByName(forms.select("_d").distinct().select("_d", every)).distinct()
+    windows = lambda c, n: F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substr(c, i, F.lit(n)))
+    none = F.array().cast("array<string>")
+    cut = lambda n: F.when(F.length("_f") >= n, windows(F.col("_f"), n)).otherwise(none)
+    grams = forms.select("_d", "_f", F.explode(F.array_distinct(F.concat(*[cut(n) for n in range(1, GRAM + 1)]))).alias("_g"))
+    counts = grams.groupBy("_d", "_g").agg(F.count("*").alias("_c"))
+    own = grams.where(F.length("_g") == F.least(F.length("_f"), F.lit(GRAM)))  # a form's longest grams
+    rarest = own.join(counts, ["_d", "_g"]).groupBy("_d", "_f").agg(F.min(F.struct("_c", "_g"))["_g"].alias("_g"))
+    pairs = rarest.withColumnRenamed("_f", "_b").join(grams, ["_d", "_g"]).where((F.length("_f") > F.length("_b")) & F.col("_f").contains(F.col("_b")))
+    best = pairs.groupBy("_d", "_b").agg(F.min(F.struct((-F.length("_f")).alias("n"), "_f"))["_f"].alias("_longer"))
+    joined = entities.join(best, (F.col(doc) == F.col("_d")) & (F.col("base_form") == F.col("_b")), "left")
+    return joined.select(doc, "ord", "text", "type", F.coalesce("_longer", "base_form").alias("base_form"))
+
+
 def finalised(hits: DataFrame, docs: DataFrame | None = None, doc: str = "doc_id", text: str = "text", types: list[str] | None = None, deny: list[str] | None = None, keep: list[str] | None = None, seeds: list[str] | None = None) -> DataFrame:
     """(doc, ord, text, type, base_form): the entities of each document, numbered from 1 in order.
 

@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from maskweave.operators.chunking import packed, split_text
-from maskweave.operators.spans import rewritten
+from maskweave.operators.spans import rewritten_parts
 
 #: Fixed value: kinds of cells that patterns are looked for in.
 SEARCHED = ("text", "formula")
@@ -52,9 +52,9 @@ def header_labels(cells: DataFrame, sheets: DataFrame) -> DataFrame:
     return joined.join(per, ["doc_id", "sheet"]).select("doc_id", "sheet", "col", F.when(F.col("full") & F.col("unique"), F.col("head")).otherwise(F.concat(F.lit("Col "), column_letter(F.col("col")))).alias("label"))
 
 
-def masked_cells(cells: DataFrame, mapping: DataFrame, entities: DataFrame | None = None) -> DataFrame:
+def masked_cells(cells: DataFrame, mapping: DataFrame) -> DataFrame:
     """Cells rewritten one by one, so that nothing is replaced across cells."""
-    return rewritten(cells, mapping, "doc_id", "search_text", entities)
+    return rewritten_parts(cells, mapping, ["sheet", "row", "col"], "doc_id", "search_text")
 
 
 def neutralised(text: Column, kind: Column) -> Column:

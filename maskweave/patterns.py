@@ -181,6 +181,62 @@ def java(pattern: str, type_: str = "") -> str:
     return "".join(out)
 
 
+#: One scan finds every word that a one-word pattern can match: a maximal run of ASCII word characters, all of them capitals or digits.
+ONE_WORD = f"(?<!{_W})[A-Z0-9]{{5,}}(?!{_W})"
+_ONE_WORD_PARTS = re.compile(r"(?:\\d|\[[A-Z0-9-]+\]|[A-Z0-9]|\{\d+(?:,\d+)?\}|\(\?:|\(|\)|\||\?)+")
+_LENGTH_ONLY = re.compile(r"(\\d|\[A-Z0-9\])\{(\d+)(?:,(\d+))?\}")
+# What a text must hold for a pattern to match, where that is quickly seen.
+_NEEDS = {
+    "EMAIL": "@", "URL": "http", "IP_ADDRESS": r"[0-9]\.[0-9]", "IPV4_ADDRESS": r"[0-9]\.[0-9]", "IPV6_ADDRESS": r"[0-9a-fA-F]:[0-9a-fA-F]{0,4}:", "MAC_ADDRESS": r"[0-9A-Fa-f]{2}[:-][0-9A-Fa-f]{2}[:-]",
+    "CURRENCY_AMOUNT": r"[$€£¥₹₩₽]|USD|EUR|GBP|JPY|CNY|INR|CAD|AUD|CHF|SEK|NOK|DKK|ZAR", "CRYPTO_ETH": "0x", "CREDIT_CARD": r"[0-9]{4}[- \t\n\f\r]?[0-9]{4}",
+}
+
+
+def one_word(pattern: str) -> str | None:
+    r"""The pattern of a whole word, if every match of the pattern is one.
+
+    Then each alternative stands between two \b and holds capitals and digits
+    only, so that a match can neither begin nor end inside a run of word
+    characters.
+    """
+    inner = []
+    depth = part = 0
+    for i, c in enumerate(pattern + "|"):
+        depth += (c == "(") - (c == ")")
+        if c == "|" and depth == 0:
+            one, part = pattern[part:i], i + 1
+            if len(one) < 5 or not one.startswith(r"\b") or not one.endswith(r"\b") or r"\b" in one[2:-2] or not _ONE_WORD_PARTS.fullmatch(one[2:-2]):
+                return None
+            inner.append(one[2:-2])
+    least = min(_least(x) for x in inner)
+    return "|".join(inner) if least >= 5 else None
+
+
+def _least(pattern: str) -> int:
+    """A lower bound of the length of what a one-word pattern matches."""
+    flat = re.sub(r"\((?:\?:)?[^()]*\)\?", "", pattern)
+    total = 0
+    for _, lo, maybe in re.findall(r"(\\d|\[[^\]]+\]|[A-Z0-9])(?:\{(\d+)(?:,\d+)?\})?(\?)?", flat):
+        total += 0 if maybe else int(lo) if lo else 1
+    return total
+
+
+def lengths(pattern: str) -> tuple[bool, int, int] | None:
+    """(digits only, least, most) if a one-word pattern asks for nothing but a length."""
+    m = _LENGTH_ONLY.fullmatch(pattern)
+    return (m[1] == r"\d", int(m[2]), int(m[3] or m[2])) if m else None
+
+
+def needs(type_: str, pattern: str) -> str | None:
+    """A quick pattern that every text with a match holds; None if there is none."""
+    if PATTERNS.get(type_) != pattern:
+        return None
+    # patterns of the library that can't match without a hyphen
+    if type_ not in _NEEDS and re.fullmatch(r"(?:\\b(?:\\d|\[[^\]]*\]|\{[^}]*\}|-)+\\b)", pattern) and "-" in re.sub(r"\[[^\]]*\]", "", pattern):
+        return "[0-9]-[0-9]"
+    return _NEEDS.get(type_)
+
+
 def python(pattern: str) -> re.Pattern[str]:
     r"""The pattern for Python's re with the same meaning."""
     out, i, in_class = [], 0, False

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from maskweave import model as M
 from maskweave.config import Config, profile
 from maskweave.operators import chunking, detect, entities, mapping, residual, restore, risk, spans, tables
+from maskweave.session import by_key, spread, staged
 
 
 @dataclass(frozen=True)
@@ -34,6 +35,7 @@ def anonymize(
     """
     config = config or profile("regex-only")
     with_model = config.use_model and client is not None
+    docs = by_key(docs, doc)  # the only shuffle of texts: entities, numbers and rewriting all go by document
     source = docs.where(F.col(text).isNotNull()).select(doc, F.col(text).alias("text"))
     pieces = chunking.chunks(source, config.chunk_size, config.chunk_overlap, doc) if with_model else source.withColumn("chunk_idx", F.lit(0))
     hits = detect.hits(pieces, doc, "text", config.patterns, countries, chunk="chunk_idx")
@@ -63,7 +65,8 @@ def anonymize_tables(cells: DataFrame, config: Config | None = None, countries:
     # a cell's address stands in for the chunk: sheet, row and column in reading order
     sheet = F.col("sheet_no") if "sheet_no" in cells.columns else F.lit(1)
     address = (F.shiftleft(sheet.cast("long"), 40) + F.shiftleft(F.col("row").cast("long"), 16) + F.col("col")).alias("chunk_idx")
-    filled = cells.where("search_text <> ''").select("doc_id", "kind", "search_text", address)
+    # cells of one table are spread over all tasks for the scan; a table may hold a third of all cells
+    filled = by_key(cells.where("search_text <> ''").select("doc_id", "kind", "search_text", address), "doc_id", "chunk_idx")
     hits = detect.hits(filled.where(F.col("kind").isin(*tables.SEARCHED)), "doc_id", "search_text", config.patterns, countries, chunk="chunk_idx")
     if deny:
         extra = detect.denied(filled, hits.limit(0), deny, "doc_id", "search_text")
@@ -73,6 +76,7 @@ def anonymize_tables(cells: DataFrame, config: Config | None = None, countries:
     mapped = mapping.numbered(found)
     if operators:
         mapped = mapping.written_by_operator(mapped, operators, secret)
+    mapped = staged(mapped, "table-map")  # read twice: words are counted before they are joined
     return Masked(tables.masked_cells(cells, mapped), mapped, found)
 
 
@@ -84,6 +88,7 @@ def deanonymize(masked: DataFrame, inverse: DataFrame, doc: str = "doc_id", text
 
 def verify(masked: DataFrame, doc: str = "doc_id", text: str = "text", countries: list[str] | None = None) -> DataFrame:
     """One report row for each masked text, of what patterns still find."""
+    masked = spread(masked, doc)
     return residual.leftover_report(masked, residual.leftovers(masked, doc, text, None, countries), doc)
 
 

@@ -12,7 +12,7 @@ from maskweave.functions import checksums, writing
 from maskweave.operators import chunking, detect, entities, evaluate, mapping, rejects, residual, restore, risk, spans, tables
 from maskweave.plans import oracle as O
 from maskweave.plans import pipeline
-from maskweave.session import table
+from maskweave.session import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -33,7 +33,7 @@ def query(sql: str | None = None, name: str | None = None) -> Callable[[Query],
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
 
 
 # rejected rows (problem 4)
@@ -86,7 +86,7 @@ def hits_all_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT type, CAST(count(*) AS BIGINT) AS hits, CAST(count(DISTINCT text) AS BIGINT) AS texts FROM ({O.hits('people', 'person_id', 'notes')}) GROUP BY type")
 def hits_in_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    notes = table(spark, sf_dir, "people").select(F.col("person_id").alias("doc_id"), F.col("notes").alias("text"))
+    notes = spread(table(spark, sf_dir, "people").select(F.col("person_id").alias("doc_id"), F.col("notes").alias("text")), "doc_id")
     return detect.hits(notes).groupBy("type").agg(F.count("*").alias("hits"), F.countDistinct("text").alias("texts"))
 
 
@@ -345,7 +345,7 @@ def op_fake_structured(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _masked(spark: SparkSession, sf_dir: str, **kw: object) -> pipeline.Masked:
-    return pipeline.anonymize(docs(spark, sf_dir), **kw)
+    return pipeline.anonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), **kw)
 
 
 @query()

@@ -16,6 +16,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def partitions(spark: SparkSession) -> int:
+    """Partitions for a stage that computes much: those of shuffles, but at least one for each core."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
+def by_key(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` partitioned by its keys, with a fixed number of partitions.
+
+    What is derived from it and grouped or joined by these keys (and others)
+    needs no further shuffle.  The number is fixed since the size of a text says
+    little about the work that patterns make of it.
+    """
+    return df.repartition(partitions(df.sparkSession), *keys)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` as it is if it is read from at least as many files as there are cores, else partitioned by its keys."""
+    if df.isStreaming or len(df.inputFiles()) >= df.sparkSession.sparkContext.defaultParallelism:
+        return df
+    return by_key(df, *keys)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share.
 

@@ -97,4 +97,5 @@ def guarded_rewrite(cells: DataFrame, entities: DataFrame, mapping: DataFrame) -
     known = entities.join(mapping.select(F.col("doc_id").alias("_d"), F.col("original").alias("_o")), (F.col("doc_id") == F.col("_d")) & (F.col("text") == F.col("_o")), "left_semi")
     if not known.limit(1).count():
         raise ValueError("the map holds none of the entities")
-    return masked_cells(cells, mapping, entities)
+    found = entities.select(F.col("doc_id").alias("_d"), F.col("text").alias("_o")).distinct()
+    return masked_cells(cells, mapping.join(found, (F.col("doc_id") == F.col("_d")) & (F.col("original") == F.col("_o")), "left_semi"))
