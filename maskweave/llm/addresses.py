@@ -107,7 +107,9 @@ def parsed(df: DataFrame, id_col: str, address: str) -> DataFrame:
         for b in batches:
             got = pd.DataFrame([parse(x) for x in b["address"]], columns=["number", "postcode", "street", "kind", "rest"])
             got.insert(0, "rec_id", b["rec_id"].values)
-            yield got[got["number"].notna()]
+            got = got[got["number"].notna()]
+            if len(got):
+                yield got
 
     kind = df.schema[id_col].dataType.simpleString()
     return df.where(F.col(address).isNotNull()).select(F.col(id_col).alias("rec_id"), F.col(address).alias("address")).mapInPandas(
@@ -153,9 +155,10 @@ def buildings(df: DataFrame, id_col: str = "sample_id", address: str = "address_
 
     Null, empty and filler values and addresses without a number, street or
     locality have no row.  kind is empty where the type is not known.  Repeated
-    rows get a row each.
+    rows get a row each; everything is worked out once for each distinct text.
     """
-    base = staged(parsed(df, id_col, address), "addresses")
+    rows = df.where(F.length(address) > 0).select(F.col(id_col).alias("row_id"), F.sha2(F.col(address), 256).alias("address_key"), F.col(address).alias("address"))
+    base = staged(parsed(rows.select("address_key", "address").dropDuplicates(["address_key"]), "address_key", "address"), "addresses")
     rest = base.select("rec_id", F.posexplode(F.split("rest", " ")).alias("pos", "word")).where("word <> ''")
     streets = base.where("street is not null").select(F.col("street").alias("word"))
     spelling = staged(_respelled(rest.select("word").unionByName(streets)), "address-good")
@@ -206,7 +209,8 @@ def buildings(df: DataFrame, id_col: str = "sample_id", address: str = "address_
     chosen = F.when((F.col("kind") == "") & (F.col("kinds") == 1), F.col("only_kind")).otherwise(F.col("kind"))
     values = values.select(*block, "street", "kind", F.col("known"), chosen.alias("chosen"), (F.col("kind").eqNullSafe("") & (F.coalesce("kinds", F.lit(0)) > 1)).alias("open"))
     out = placed.join(values.where("not open"), [*block, "street", "kind"])
-    return out.select(F.col("rec_id").alias(id_col), "locality", "number", F.col("known").alias("street"), F.col("chosen").alias("kind"))
+    out = out.select(F.col("rec_id").alias("address_key"), "locality", "number", F.col("known").alias("street"), F.col("chosen").alias("kind"))
+    return rows.select("row_id", "address_key").join(out, "address_key").select(F.col("row_id").alias(id_col), "locality", "number", "street", "kind")
 
 
 def same_building(df: DataFrame, id_col: str = "sample_id", address: str = "address_1") -> DataFrame:

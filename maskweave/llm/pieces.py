@@ -110,14 +110,14 @@ class _Cutter:
 
     def spans(self, s: Size) -> Iterator[tuple[int, int]]:
         marks = np.flatnonzero(self.hashes % np.uint64(max(1, (s.size - s.least) // LANDMARKS)) == 0)
-        start = 0
+        start = last = 0
         while self.n - start > s.size:
-            low, high = start + s.least, start + s.size
+            low, high = max(start + s.least, last + 1), start + s.size
             k = int(np.searchsorted(marks, low))
             mark = int(marks[k]) if k < len(marks) and marks[k] <= high else high
             reach = max(1, int(s.size * SNAP))
             end = -1
-            for a, b in ((max(low, mark - reach), min(high, mark + reach)), (low, high), (start + 1 + s.overlap, low)):
+            for a, b in ((max(low, mark - reach), min(high, mark + reach)), (low, high), (max(start + 1 + s.overlap, last + 1), low)):
                 for places in self.classes:
                     end = _nearest(places, mark, a, b)
                     if end > 0:
@@ -128,7 +128,7 @@ class _Cutter:
                 end = _nearest(self.signs, mark, low, high)
                 end = end if end > 0 else self._whole(mark, low)
             yield start, end
-            start = self._again(start, end, s)
+            start, last = self._again(start, end, s), end
         yield start, self.n
 
     def _again(self, start: int, end: int, s: Size) -> int:
@@ -137,12 +137,13 @@ class _Cutter:
             return end
         wish = end - s.overlap
         near = max(8, s.overlap // 4)
-        low, high = max(start + 1, wish - near), min(end - 1, wish + near)
+        least = max(start + 1, end + 2 - s.size)  # the next piece must be able to end later
+        low, high = max(least, wish - near), min(end - 1, wish + near)
         for places in self.classes[2:]:
             if (at := _nearest(places, wish, low, high)) > 0:
                 return at
         at = _nearest(self.signs, wish, low, high)
-        return at if at > 0 else self._whole(max(start + 1, wish), start + 1)
+        return at if at > 0 else self._whole(max(least, wish), least)
 
 
 def spans(text: str | None, size: Size) -> list[tuple[int, int]]:

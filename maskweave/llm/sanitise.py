@@ -276,7 +276,8 @@ def disclosure(words: DataFrame, protected: DataFrame, name: str = "name") -> Da
                 terms = [t for t, _, _ in _terms(x) if len(t) > 1 and t not in PARTICLES and t not in TITLES]
                 both.update(terms)
                 first.update(terms[:1])
-            yield pd.DataFrame({"term": list(both), "n_names": list(both.values()), "n_first": [first[t] for t in both]})
+            if both:
+                yield pd.DataFrame({"term": list(both), "n_names": list(both.values()), "n_first": [first[t] for t in both]})
 
     names = protected.where(F.col(name).isNotNull()).select(F.col(name).alias("name")).mapInPandas(split, "term string, n_names long, n_first long")
     names = names.groupBy("term").agg(F.sum("n_names").alias("n_names"), F.sum("n_first").alias("n_first"))
@@ -296,7 +297,8 @@ def _words_of(texts: DataFrame) -> DataFrame:
                     keys.append(key)
                     terms.append(term)
                     ns.append(n)
-            yield pd.DataFrame({"key": keys, "term": terms, "n": ns})
+            if keys:
+                yield pd.DataFrame({"key": keys, "term": terms, "n": ns})
 
     return texts.select("key", "text").mapInPandas(run, "key string, term string, n long")
 
@@ -325,7 +327,8 @@ def find_items(rows: DataFrame, protected: DataFrame, text: str = "text", name:
                 for term, yes, one in _neighbours(form_with_offsets(t)[0], _roles_of(r)):
                     near[term] += yes
                     all_[term] += one
-            yield pd.DataFrame({"term": list(all_), "near": [near[t] for t in all_], "n": list(all_.values())})
+            if all_:
+                yield pd.DataFrame({"term": list(all_), "near": [near[t] for t in all_], "n": list(all_.values())})
 
     pairs = _marked(texts, words, by_roster.where("role = 'G'")).select("text", "roles").mapInPandas(beside, "term string, near long, n long")
     pairs = staged(pairs.groupBy("term").agg(F.sum("near").alias("near"), F.sum("n").alias("n")), "pii-neighbours")
@@ -344,6 +347,8 @@ def find_items(rows: DataFrame, protected: DataFrame, text: str = "text", name:
             got = [items(t, _roles_of(r)) for t, r in zip(b["text"], b["roles"], strict=True)]
             out = pd.DataFrame({"key": b["key"], "text": b["text"], "got": got})
             out = out[out["got"].map(len) > 0]
+            if out.empty:
+                continue
             yield pd.DataFrame(
                 {
                     "key": out["key"],
