@@ -95,7 +95,8 @@ def model_hits(chunks: DataFrame, client: Client, template: str = PROMPTS["simpl
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             got = [ask(client, template.replace("{text}", t), retries, base_delay, max_delay) for t in b["text"]]
-            yield pd.DataFrame({"key": b["key"], "entities": got})
+            if len(b):
+                yield pd.DataFrame({"key": b["key"], "entities": got})
 
     todo = keyed.select("key", "text").dropDuplicates(["key"])
     if cache is not None:

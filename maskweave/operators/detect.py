@@ -80,7 +80,8 @@ def located_hits(docs: DataFrame, doc: str = "doc_id", text: str = "text", patte
                 for k, m in enumerate(rx.finditer(x))
                 if m[0].strip()
             ]
-            yield pd.DataFrame(rows, columns=[doc, "pattern_idx", "match_idx", "type", "start_pos", "end_pos"])
+            if rows:
+                yield pd.DataFrame(rows, columns=[doc, "pattern_idx", "match_idx", "type", "start_pos", "end_pos"])
 
     kind = docs.schema[doc].dataType.simpleString()
     chosen = docs.where(F.col(text).isNotNull()).select(F.col(doc).alias("d"), F.col(text).alias("x"))

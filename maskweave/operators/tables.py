@@ -120,7 +120,7 @@ def in_some_cell(found: DataFrame, cells: DataFrame) -> DataFrame:
     from maskweave.operators.spans import boundary_pattern
 
     texts = cells.where("search_text <> ''").select(F.col("doc_id").alias("_d"), "search_text").distinct()
-    at = F.col("search_text").contains(found["text"]) & F.col("search_text").rlike(boundary_pattern(found["text"]))
+    at = F.col("search_text").contains(found["text"]) & F.rlike("search_text", boundary_pattern(found["text"]))
     return found.join(texts, (found["doc_id"] == F.col("_d")) & at, "left_semi")
 
 
