@@ -100,7 +100,14 @@ def mix(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", source: str
     ranges = max(1, -(-max([0, *(n for _, n in totals.values())]) // RANGE_ROWS))
     u = (F.shiftrightunsigned(F.xxhash64(F.col("id"), F.lit(seed)), 11).cast("double") + 0.5) / F.lit(float(1 << 53))
     keyed = sized.withColumn("es_key", -F.log(u) / F.col("weight"))
-    keyed = keyed.withColumn("key_range", F.least(F.floor((1 - F.exp(-F.col("es_key"))) * ranges), F.lit(ranges - 1)).cast("int"))
+    # a key's expected share of its source lies below it; so ranges hold about equally many documents whatever the weights are
+    step = F.pow(F.lit(2.0), F.round(F.log2("weight") * 2) / 2).alias("w")
+    steps = sized.groupBy("source", step).agg(F.count("*").alias("c"))
+    whole = W.partitionBy("source")
+    shape = steps.withColumn("p", F.col("c") / F.sum("c").over(whole)).groupBy("source").agg(F.collect_list(F.struct("w", "p")).alias("shape"))
+    keyed = keyed.join(F.broadcast(shape), "source")  # one row for each listed source, of one entry for each half power of two
+    below = F.aggregate("shape", F.lit(0.0), lambda acc, x: acc + x["p"] * (1 - F.exp(-x["w"] * F.col("es_key"))))
+    keyed = keyed.withColumn("key_range", F.least(F.floor(below * ranges), F.lit(ranges - 1)).cast("int")).drop("shape")
     per_range = keyed.groupBy("source", "key_range").agg(F.sum("n_tokens").alias("in_range"))
     before = per_range.select("source", "key_range", (F.sum("in_range").over(W.partitionBy("source").orderBy("key_range")) - F.col("in_range")).alias("before_range"))
     within = F.sum("n_tokens").over(W.partitionBy("source", "key_range").orderBy("es_key", "id").rowsBetween(W.unboundedPreceding, 0)) - F.col("n_tokens")

@@ -282,10 +282,9 @@ def disclosure(words: DataFrame, protected: DataFrame, name: str = "name") -> Da
     names = protected.where(F.col(name).isNotNull()).select(F.col(name).alias("name")).mapInPandas(split, "term string, n_names long, n_first long")
     names = names.groupBy("term").agg(F.sum("n_names").alias("n_names"), F.sum("n_first").alias("n_first"))
     text = words.groupBy("term").agg(F.sum("n").alias("n_text"))
-    total = names.agg(F.sum("n_names").alias("all_names")).crossJoin(text.agg(F.sum("n_text").alias("all_text")))  # one row
-    joined = names.join(text, "term", "left").join(F.broadcast(total), how="cross")
-    bits = F.log2((F.col("n_names") / F.col("all_names")) / (F.coalesce("n_text", F.lit(0.5)) / F.greatest("all_text", F.lit(1))))
-    return joined.select("term", F.coalesce("n_text", F.lit(0)).alias("n_text"), "n_names", "n_first", bits.alias("bits"))
+    all_names, all_text = (max(1, d.agg(F.sum(c)).first()[0] or 0) for d, c in ((names, "n_names"), (text, "n_text")))  # one number each
+    bits = F.log2((F.col("n_names") / all_names) / (F.coalesce("n_text", F.lit(0.5)) / all_text))
+    return names.join(text, "term", "left").select("term", F.coalesce("n_text", F.lit(0)).alias("n_text"), "n_names", "n_first", bits.alias("bits"))
 
 
 def _words_of(texts: DataFrame) -> DataFrame:
@@ -332,9 +331,9 @@ def find_items(rows: DataFrame, protected: DataFrame, text: str = "text", name:
 
     pairs = _marked(texts, words, by_roster.where("role = 'G'")).select("text", "roles").mapInPandas(beside, "term string, near long, n long")
     pairs = staged(pairs.groupBy("term").agg(F.sum("near").alias("near"), F.sum("n").alias("n")), "pii-neighbours")
-    base = pairs.agg((F.sum("near") / F.sum("n")).alias("base"))  # one row
-    gain = F.log2((F.col("near") / F.col("n")) / F.col("base"))
-    by_neighbour = pairs.crossJoin(F.broadcast(base)).where((F.col("near") > 0) & (gain >= NEIGHBOUR_BITS)).select("term", F.lit("S").alias("role"))
+    base = pairs.agg(F.sum("near") / F.sum("n")).first()[0] or 1.0  # one number
+    gain = F.log2((F.col("near") / F.col("n")) / F.lit(base))
+    by_neighbour = pairs.where((F.col("near") > 0) & (gain >= NEIGHBOUR_BITS)).select("term", F.lit("S").alias("role"))
     by_neighbour = by_neighbour.join(by_roster, "term", "left_anti")
     revealing = by_roster.unionByName(by_neighbour)
     # frequent terms that reveal nothing; the rest of the vocabulary is rare

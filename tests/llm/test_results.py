@@ -135,6 +135,14 @@ def test_relatives_stay_apart(spark):
     assert sorted(map(tuple, names.same_name(df).collect())) == [(0, 1), (0, 4), (1, 4), (2, 3), (2, 6), (3, 6)]
 
 
+def test_large_components_are_grouped_by_joins(spark, monkeypatch):
+    t = spark.read.parquet("/root/testdata/sf0.001/entity_models.parquet")
+    whole = set(map(tuple, names.same_name(t).collect()))
+    monkeypatch.setattr(names, "ROW_VALUES", 3)
+    joined = set(map(tuple, names.same_name(t).collect()))
+    assert len(whole) > 100 and len(whole ^ joined) <= 0.03 * len(whole)
+
+
 def test_similar_by_brute_force(spark):
     """The prefix join loses no pair that reaches the cosine."""
     import math
