@@ -7,6 +7,7 @@ import json
 from pathlib import Path
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from maskweave import config as C
 from maskweave.functions.writing import parse_specs
@@ -65,6 +66,8 @@ def files_passphrase(given: str | None) -> str | None:
 
 def deanonymize(spark: SparkSession, a: argparse.Namespace) -> int:
     back = files.read_map(a.mapping, a.passphrase, a.source_sha256)
+    if files.is_table(a.paths[0]):
+        return _deanonymize_table(spark, a, back)
     docs = files.read_documents(spark, a.paths[0])
     doc = docs.select("doc_id").first()[0]
     inverse = spark.createDataFrame([(doc, k, v) for k, v in back.items()], "doc_id string, written string, original string")
@@ -75,6 +78,19 @@ def deanonymize(spark: SparkSession, a: argparse.Namespace) -> int:
     return 0
 
 
+def _deanonymize_table(spark: SparkSession, a: argparse.Namespace, back: dict[str, str]) -> int:
+    cells, sheets = files.read_tables(spark, a.paths[0])
+    doc = sheets.select("doc_id").first()[0]
+    inverse = spark.createDataFrame([(doc, k, v) for k, v in back.items()], "doc_id string, written string, original string")
+    out = pipeline.deanonymize_tables(cells, inverse)
+    flat, stem = files.read_review_text(spark, a.paths[0]), _stem(a.paths[0])
+    _, unknown, unused = pipeline.deanonymize(flat, inverse)
+    for row in sinks.csv_files(out.withColumn("kind", F.lit("text")), sheets).collect():  # one file
+        sinks.write_private(f"{a.out}/deanonymized/{stem}.deanonymized.csv", bytes(row.content))
+    sinks.write_private_json(f"{a.out}/stats/{stem}.deanonymization_stat.json", {"unused_mappings": sorted(r.label for r in unused.collect()), "not_found_mappings": sorted(r.label for r in unknown.collect())})
+    return 0
+
+
 def verify(spark: SparkSession, a: argparse.Namespace) -> int:
     for path in a.paths:
         for r in pipeline.verify(files.read_review_text(spark, path), countries=a.country).collect():  # one file

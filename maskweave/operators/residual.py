@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from maskweave import model
 from maskweave.operators.detect import hits
 from maskweave.operators.mapping import is_label
 
@@ -16,6 +17,15 @@ def leftovers(masked: DataFrame, doc: str = "doc_id", text: str = "text", patter
     return h.where(~is_label(F.col("text"))).select(doc, trimmed.alias("text"), "type", F.col("base_form")).dropDuplicates([doc, "text", "type"])
 
 
+def model_leftovers(masked: DataFrame, client: model.Client, doc: str = "doc_id", text: str = "text", retries: int = 3) -> DataFrame:
+    """The same from a model's answers about each masked text."""
+    one = masked.where(F.col(text).isNotNull()).select(doc, F.lit(0).alias("chunk_idx"), F.col(text).alias("text"))
+    found, _ = model.model_hits(one, client, model.PROMPTS["residual"], doc, retries)
+    trimmed = F.trim("text")
+    kept = found.where(~is_label(F.col("text"))).select(doc, trimmed.alias("text"), "type", F.coalesce("base_form", trimmed).alias("base_form"))
+    return kept.dropDuplicates([doc, "text", "type"])
+
+
 def leftover_report(masked: DataFrame, found: DataFrame, doc: str = "doc_id", model_found: DataFrame | None = None) -> DataFrame:
     """(doc, residual_count, regex_hits, llm_hits, rewritten): one row for each text; texts are never changed."""
     entry = F.sort_array(F.collect_list(F.struct("text", "type", "base_form")))

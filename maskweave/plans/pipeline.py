@@ -95,3 +95,22 @@ def verify(masked: DataFrame, doc: str = "doc_id", text: str = "text", countries
 def report_risk(masked: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """One summary row for each masked text."""
     return risk.risk_summary(risk.risk_windows(masked, doc, text), masked, doc)
+
+
+def deanonymize_tables(cells: DataFrame, inverse: DataFrame) -> DataFrame:
+    """Cells with originals restored; the apostrophe that kept a formula from running is taken away again.
+
+    inverse: (doc_id, written, original).  A cell meets only the written forms
+    whose rarest word it holds.
+    """
+    back = inverse.select("doc_id", F.col("written").alias("original"), F.col("original").alias("written"))
+    out = spans.rewritten_parts(cells, back, ["sheet", "row", "col"], "doc_id", "search_text")
+    return out.withColumn("search_text", tables.unneutralised(F.col("search_text")))
+
+
+def consolidate(masked: DataFrame, inverse: DataFrame, doc: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(texts, map) in which every original has one label, its first; inverse: (doc, ord, written, original)."""
+    first = staged(mapping.consolidated(inverse, doc), "consolidated")
+    other = first.where("written <> canonical").select(doc, F.col("written").alias("original"), F.col("canonical").alias("written"))
+    kept = first.where("written = canonical").select(doc, "written", "original")
+    return spans.rewritten(masked, other, doc, text), kept

@@ -367,6 +367,16 @@ def restored_equals_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+@query("SELECT sheet_id AS doc_id, 'see ' || string_agg('PERSON_' || first_no, ', ' ORDER BY person_id) AS text FROM (SELECT sheet_id, person_id, first_value(row_no) OVER (PARTITION BY sheet_id, name ORDER BY person_id) AS first_no FROM people WHERE name IS NOT NULL) GROUP BY sheet_id")
+def consolidated_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts that name each label of the roster's map once, after consolidation."""
+    pairs = _pairs(spark, sf_dir)
+    labels = F.transform(F.array_sort(F.collect_list(F.struct("ord", "key"))), lambda x: x["key"])
+    texts = pairs.groupBy("doc_id").agg(F.concat(F.lit("see "), F.array_join(labels, ", ")).alias("text"))
+    inverse = pairs.select("doc_id", "ord", F.col("key").alias("written"), F.col("value").alias("original"))
+    return pipeline.consolidate(texts, inverse)[0]
+
+
 @query()
 def unused_placeholders(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = _masked(spark, sf_dir)
@@ -512,6 +522,18 @@ def masked_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pipeline.anonymize_tables(_cells(spark, sf_dir)).docs.select("doc_id", "row", "col", "search_text")
 
 
+@query(f"SELECT doc_id, CAST(row AS INT) AS row, CAST(col AS INT) AS col, search_text FROM {_CELLS} WHERE search_text <> '' AND NOT starts_with(search_text, '=')")
+def restored_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Masking the roster and restoring it gives every text cell back.
+
+    Formulas are left out of the comparison: an amount such as ``$4`` in
+    ``=$B$4`` leaves its label glued to a letter, and a label is restored at a
+    word's start only.
+    """
+    m = pipeline.anonymize_tables(_cells(spark, sf_dir))
+    return pipeline.deanonymize_tables(m.docs, mapping.inverted(m.mapping)).where("kind = 'text'").select("doc_id", "row", "col", "search_text")
+
+
 @query()
 def table_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells, sheets = _cells(spark, sf_dir), _sheets(spark, sf_dir)

@@ -120,6 +120,15 @@ def test_model_hits_and_cache(spark):
     assert m.docs.first().text == "PERSON_1 met PERSON_1.v_1, EMAIL_1"
 
 
+def test_residual_model(spark):
+    from maskweave.operators import residual
+
+    d = spark.createDataFrame([(1, "PERSON_1 and Jane"), (2, None)], "doc_id long, text string")
+    left = residual.model_leftovers(d, Stub())
+    assert [(r.doc_id, r.text, r.type) for r in left.collect()] == [(1, "Jane", "PERSON")]
+    assert {r.doc_id: r.residual_count for r in residual.leftover_report(d, residual.leftovers(d), model_found=left).collect()} == {1: 1, 2: 0}
+
+
 def test_config():
     assert config.profile("regex-only").use_model is False and config.profile("best-cost", chunk_size=5).chunk_size == 5
     assert config.resolve_model("openai/gpt-4o") == ("openrouter", "openai/gpt-4o") and config.resolve_model("ollama/x:1") == ("ollama", "x:1")
@@ -202,4 +211,8 @@ def test_command_line(spark, tmp_path):
     assert open(f"{out}/deanonymized/note.deanonymized.txt").read() == "Mail jane@acme.org on 2019-06-20."
     assert cli.main(["verify", f"{out}/anonymized/note.anonymized.txt", "--out", out]) == 0 and cli.main(["report", f"{out}/anonymized/note.anonymized.txt", "--out", out]) == 0
     assert json.load(open(f"{out}/stats/note.risk.json"))["overall"] == "low"
+    (tmp_path / "t.csv").write_bytes(CSV.encode())
+    assert cli.main(["run", str(tmp_path / "t.csv"), "--out", out, "--passphrase", "p"]) == 0
+    assert cli.main(["deanonymize", f"{out}/anonymized/t.anonymized.csv", "--mapping", f"{out}/mappings/t.mapping.json.enc", "--out", out, "--passphrase", "p"]) == 0
+    assert open(f"{out}/deanonymized/t.deanonymized.csv", newline="").read() == CSV
     assert cli.main(["run", str(tmp_path / "x.xls"), "--out", out]) == 1 and cli.main(["run", str(tmp_path / "note.txt"), "--operator", "A=b"]) == 1
