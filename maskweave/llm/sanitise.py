@@ -114,7 +114,7 @@ def formal_items(text: str, roles: dict[str, str]) -> list[tuple[int, int, str]]
                 end = m.start(t)
                 while end and text[end - 1] in ", ":
                     end -= 1
-        if end == m.end() and not (m["t1"] or m["t2"]) and text[end - 1] == "." and not re.match(r" ?[a-z,;]", text[end:]) and not text[:end].endswith(("tr.",)):
+        if end == m.end() and text[end - 1] == ".":  # with nothing after it, a full stop ends the sentence
             end -= 1
         add(m.start(), end, "ADDRESS")
     return out
