@@ -39,6 +39,7 @@ ROSTER_BITS, NEIGHBOUR_BITS = 0.5, 1.0
 #: A word beside a first name that the whole corpus holds at most so often is taken for a surname.
 RARE = 3
 
+_FLUSH_ROWS = 100_000
 KINDS = ("EMAIL", "PHONE", "ID", "ADDRESS", "PERSON")
 # Words of the grammar of names and addresses.
 PARTICLES = frozenset("von van der den de del della la las los du di da dos zu zum zur ten ter le af y".split())
@@ -289,15 +290,18 @@ def disclosure(words: DataFrame, protected: DataFrame, name: str = "name") -> Da
 
 def _words_of(texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        keys, terms, ns = [], [], []
         for b in batches:
-            keys, terms, ns = [], [], []
             for key, t in zip(b["key"], b["text"], strict=True):
                 for term, n in Counter(x for x, _, _ in _terms(form_with_offsets(t)[0]) if len(x) > 1).items():
                     keys.append(key)
                     terms.append(term)
                     ns.append(n)
-            if keys:
-                yield pd.DataFrame({"key": keys, "term": terms, "n": ns})
+                if len(keys) >= _FLUSH_ROWS:
+                    yield pd.DataFrame({"key": keys, "term": terms, "n": ns})
+                    keys, terms, ns = [], [], []
+        if keys:
+            yield pd.DataFrame({"key": keys, "term": terms, "n": ns})
 
     return texts.select("key", "text").mapInPandas(run, "key string, term string, n long")
 
@@ -313,7 +317,7 @@ def find_items(rows: DataFrame, protected: DataFrame, text: str = "text", name:
 
     rows keep their other columns.  Null and empty texts have no key.
     """
-    rows = rows.withColumn("key", F.when(F.length(text) > 0, F.sha2(F.col(text), 256)))
+    rows = rows.withColumn("key", F.when(F.length(text) > 0, F.base64(F.unhex(F.md5(F.col(text))))))
     texts = staged(rows.where("key is not null").select("key", F.col(text).alias("text")).dropDuplicates(["key"]), "pii-texts")
     words = staged(_words_of(texts), "pii-words")
     known = staged(disclosure(words, protected, name), "pii-disclosure")
