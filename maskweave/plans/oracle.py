@@ -132,6 +132,19 @@ def hits(source: str = "documents", doc: str = "doc_id", text: str = "text", lib
     return "\nUNION ALL\n".join(one)
 
 
+def places(library: dict[str, str] | None = None) -> str:
+    """SELECT of (doc_id, pattern_idx, match_idx, type, start_pos, end_pos): gaps and matches before a match make up its place."""
+    one = []
+    for i, (t, rx) in enumerate((library or P.PATTERNS).items()):
+        lengths = lambda x, to: f"coalesce(list_sum(list_transform({x}[1:{to}], lambda y: length(y))), 0)"
+        start = f"CAST({lengths('g', 'k + 1')} + {lengths('m', 'k')} AS INT)"
+        one.append(
+            f"SELECT doc_id, {i} AS pattern_idx, CAST(k AS INT) AS match_idx, {q(t)} AS type, {start} AS start_pos, CAST({start} + length(m[k + 1]) AS INT) AS end_pos FROM (SELECT doc_id, m, g, unnest(range(len(m))) AS k "
+            f"FROM (SELECT doc_id, regexp_extract_all(text, {q(rx)}) AS m, string_split_regex(text, {q(rx)}) AS g FROM documents WHERE text IS NOT NULL))"
+        )
+    return "\nUNION ALL\n".join(one)
+
+
 _PRIORITY = values([(k, v) for k, v in P.PRIORITY.items()], "pr(ptype, prio)")
 
 ENTITIES = f"""
@@ -156,5 +169,13 @@ m AS (SELECT doc_id, CASE WHEN text = base_form THEN group_ord ELSE ord END AS o
 """
 
 
+CORPUS = """
+f AS (SELECT base_form, doc_id AS fd, ord AS fo, type AS gtype FROM e QUALIFY row_number() OVER (PARTITION BY base_form ORDER BY doc_id, ord) = 1),
+l AS (SELECT base_form, gtype || '_' || row_number() OVER (PARTITION BY gtype ORDER BY fd, fo) AS main FROM f),
+t AS (SELECT base_form, text, min(struct_pack(d := doc_id, o := ord)) AS first_at, min(type) AS type FROM e GROUP BY base_form, text),
+c AS (SELECT text AS original, main || CASE WHEN text <> base_form THEN '.v_' || sum(CASE WHEN text <> base_form THEN 1 ELSE 0 END) OVER (PARTITION BY base_form ORDER BY first_at) ELSE '' END AS written, type, base_form FROM t JOIN l USING (base_form))
+"""
+
+
 def with_hits(tail: str, source: str = "documents", **kw: object) -> str:
     return f"WITH h0 AS ({hits(source, **kw)}), {tail}"

@@ -96,7 +96,7 @@ def hits_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id").groupBy("lang", "type").agg(F.count("*").alias("hits"))
 
 
-@query()
+@query(O.places())
 def hits_with_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.located_hits(docs(spark, sf_dir))
 
@@ -259,7 +259,7 @@ def mapping_hash_operator(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.where("written like 'H~_%' escape '~'").groupBy("doc_id").agg(F.countDistinct("original").alias("n_originals"))
 
 
-@query()
+@query(O.with_hits(O.ENTITIES + "," + O.CORPUS + "SELECT original, written, type, base_form FROM c"))
 def mapping_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mapping.corpus_numbered(_entities(spark, sf_dir))
 
@@ -451,16 +451,12 @@ def risk_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # evaluation
 
-_GOLD = "(SELECT doc_id, text, upper(trim(type)) AS type, start_pos, end_pos, lower(trim(text)) AS t FROM entity_dicts WHERE text IS NOT NULL)"
 _DIRECT = ", ".join(O.q(x) for x in evaluate.DIRECT)
 _QUASI_T = ", ".join(O.q(x) for x in evaluate.QUASI)
-_EVAL = f"""WITH g AS (SELECT *, CASE WHEN type IN ({_DIRECT}) OR starts_with(type, 'SSN') THEN 'direct' WHEN type IN ({_QUASI_T}) THEN 'quasi' ELSE 'other' END AS kind, 1 AS is_gold FROM (
-  SELECT doc_id, text, type, start_pos, end_pos, hit_id FROM entity_dicts WHERE text IS NOT NULL AND hit_id % 5 <> 1)),
-p AS (SELECT *, CASE WHEN type IN ({_DIRECT}) OR starts_with(type, 'SSN') THEN 'direct' WHEN type IN ({_QUASI_T}) THEN 'quasi' ELSE 'other' END AS kind, 0 AS is_gold FROM (
-  SELECT doc_id, text, upper(type) AS type, start_pos, end_pos, hit_id FROM entity_dicts WHERE text IS NOT NULL AND hit_id % 5 <> 2)),
-g2 AS (SELECT doc_id, text, upper(type) AS type, start_pos, end_pos, hit_id, CASE WHEN upper(type) IN ({_DIRECT}) OR starts_with(upper(type), 'SSN') THEN 'direct' WHEN upper(type) IN ({_QUASI_T}) THEN 'quasi' ELSE 'other' END AS kind, 1 AS is_gold FROM g),
-s AS (SELECT * FROM g2 UNION ALL BY NAME SELECT * FROM p),
-x AS (SELECT *, lower(trim(text, ' ')) AS lt, unnest(['all', kind]) AS grp FROM s),
+_EVAL = f"""WITH a AS (SELECT doc_id, upper(type) AS type, start_pos, end_pos, lower(trim(text, ' ')) AS lt, base_form IS NOT NULL AS is_g, chunk_idx = 0 AS is_p FROM entity_dicts WHERE text IS NOT NULL),
+k AS (SELECT *, CASE WHEN type IN ({_DIRECT}) OR starts_with(type, 'SSN') THEN 'direct' WHEN type IN ({_QUASI_T}) THEN 'quasi' ELSE 'other' END AS kind FROM a),
+s AS (SELECT *, 1 AS is_gold FROM k WHERE is_g UNION ALL SELECT *, 0 FROM k WHERE is_p),
+x AS (SELECT *, unnest(['all', kind]) AS grp FROM s),
 mk AS (SELECT grp, doc_id, start_pos, end_pos, lt, sum(is_gold) AS g, sum(1 - is_gold) AS p FROM x WHERE grp <> 'other' GROUP BY ALL),
 ek AS (SELECT grp, doc_id, kind, lt, max(is_gold) AS g, max(1 - is_gold) AS p FROM x WHERE grp <> 'other' GROUP BY ALL),
 u AS (SELECT grp AS kind, 'mention' AS level, sum(CASE WHEN g > 0 AND p > 0 THEN 1 ELSE 0 END) AS tp, sum(p) AS pred, sum(g) AS gold FROM mk GROUP BY grp
@@ -470,9 +466,10 @@ SELECT kind, level, CAST(tp AS BIGINT) AS true_positives, CAST(pred AS BIGINT) A
 
 @query(_EVAL)
 def eval_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits with a base form as gold, hits of first chunks as predictions."""
     t = table(spark, sf_dir, "entity_dicts").where("text is not null")
-    m = t.select("doc_id", "text", "type", F.lit(None).cast("string").alias("kind"), "start_pos", "end_pos", F.col("text").alias("base_form"), "hit_id")
-    return evaluate.scores(m.where("hit_id % 5 <> 1"), m.where("hit_id % 5 <> 2"))
+    m = t.select("doc_id", "text", "type", F.lit(None).cast("string").alias("kind"), "start_pos", "end_pos", F.lit(None).cast("string").alias("base_form"), F.col("base_form").alias("given"), "chunk_idx")
+    return evaluate.scores(m.where("given is not null"), m.where("chunk_idx = 0"))
 
 
 # tables: the roster as cells
