@@ -155,7 +155,7 @@ def test_similar_by_brute_force(spark):
     for x in g.values():
         for y in x:
             count[y] = count.get(y, 0) + 1
-    w = {y: math.log1p(len(sigs) / n) * (2.5 if y[0] == "@" else 1) for y, n in count.items()}
+    w = {y: math.log1p(len(sigs) / n) for y, n in count.items()}
     norm = {s: math.sqrt(sum(w[y] ** 2 for y in x)) for s, x in g.items()}
     cos = lambda a, b: sum(w[y] ** 2 for y in set(g[a]) & set(g[b])) / norm[a] / norm[b]
     want = {(a, b) for a in sigs for b in sigs if a < b and cos(a, b) >= 0.3}
