@@ -26,11 +26,11 @@ import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from maskweave.llm.skeleton import form
 from maskweave.session import staged
@@ -39,9 +39,9 @@ from maskweave.session import staged
 COSINE = 0.2
 #: Least average similarity at which clusters of full names are merged.
 LINKAGE = 0.08
-#: Components with more values than this are grouped by their connections instead of average linkage.
-LINKAGE_MOST = 400
-#: Components with more values than this are never brought into one row; they are grouped by joins.
+#: Similarities are summed up as whole numbers of this many parts, so that their order makes no difference.
+PARTS = 10**9
+#: Components with more values than this are never brought into one row; they are grouped by joins, with the same result.
 ROW_VALUES = 2_000
 #: A word is taken for a misspelling of another one if it stands in fewer documents than REAL_WORD_DOCS,
 #: or in fewer than one for each REAL_WORD_SHARE of the other's.
@@ -406,55 +406,49 @@ def _components(values: DataFrame, edges: DataFrame) -> DataFrame:
         labels = staged(new.select("doc", "sig", "comp").join(jump, ["doc", "comp"]).select("doc", "sig", F.col("further").alias("comp")), "name-comp")
 
 
+def linkage(full: list[str], similarity: dict[str, dict[str, float]]) -> dict[str, list[str]]:
+    """Average linkage: the groups of the full names, by their smallest one.
+
+    In each round, every two groups that are each other's nearest are merged.  An
+    average never exceeds the larger of its parts, so this gives what merging the
+    nearest two of all, one after another, would give; ties go to the smaller names.
+    """
+    groups = {s: [s] for s in full}
+    sums = {a: {b: int(c * PARTS + 0.5) for b, c in similarity.get(a, {}).items() if b in groups} for a in full}
+    least = round(LINKAGE * PARTS)
+    while True:
+        best = {}
+        for a, row in sums.items():
+            near = [(-x / (len(groups[a]) * len(groups[b])), *sorted((a, b))) for b, x in row.items() if x >= least * len(groups[a]) * len(groups[b])]
+            if near:
+                best[a] = min(near)
+        into = {y: x for _, x, y in best.values() if best.get(x) == best.get(y)}
+        if not into:
+            return groups
+        for y, x in into.items():
+            groups[x] += groups.pop(y)
+        merged: dict[str, dict[str, int]] = {a: {} for a in groups}
+        for a, row in sums.items():
+            to = merged[into.get(a, a)]
+            for b, x in row.items():
+                other = into.get(b, b)
+                if other != into.get(a, a):
+                    to[other] = to.get(other, 0) + x
+        sums = merged
+
+
 def cluster(values: list[tuple[str, str | None]], edges: list[tuple[str, str, float, str]]) -> dict[tuple[str, str | None], str]:
     """Cluster of every (signature, base signature) of a component, named by its smallest full signature.
 
     values: (signature, base signature); edges: (a, b, cosine, verdict).
     What fits several clusters and has no base form to tell is left alone.
+    ``_large_classes`` gives the same by joins.
     """
     weight: dict[str, dict[str, tuple[float, str]]] = defaultdict(dict)
     for a, b, c, verdict in edges:
         weight[a][b] = weight[b][a] = (c, verdict)
     full = sorted({s for s, _ in values if not is_partial(s)})
-    groups = {i: [s] for i, s in enumerate(full)}
-    if len(full) <= LINKAGE_MOST:
-        n = len(full)
-        sim = np.zeros((n, n))
-        for i, a in enumerate(full):
-            for j, b in enumerate(full):
-                if b in weight[a] and weight[a][b][1] == "full":
-                    sim[i, j] = weight[a][b][0]
-        size, alive = np.ones(n), np.ones(n, bool)
-        np.fill_diagonal(sim, -1)
-        while alive.sum() > 1:
-            i, j = divmod(int(sim.argmax()), n)
-            if sim[i, j] < LINKAGE:
-                break
-            merged = (sim[i] * size[i] + sim[j] * size[j]) / (size[i] + size[j])
-            sim[i], sim[:, i] = merged, merged
-            sim[i, i] = -1
-            sim[j], sim[:, j] = -1, -1
-            size[i] += size[j]
-            alive[j] = False
-            sim[:, ~alive] = -1
-            sim[~alive] = -1
-            groups[i] += groups.pop(j)
-    else:
-        root = {s: s for s in full}
-
-        def find(s: str) -> str:
-            while root[s] != s:
-                s = root[s]
-            return s
-
-        for a in full:
-            for b, (_, verdict) in weight[a].items():
-                if verdict == "full" and b in root:
-                    root[max(find(a), find(b))] = min(find(a), find(b))
-        by_root = defaultdict(list)
-        for s in full:
-            by_root[find(s)].append(s)
-        groups = dict(enumerate(by_root.values()))
+    groups = linkage(full, {a: {b: c for b, (c, verdict) in weight[a].items() if verdict == "full"} for a in full})
     of = {s: min(g) for g in groups.values() for s in g}
     members = {min(g): list(g) for g in groups.values()}
     out: dict[tuple[str, str | None], str] = {(s, b): of[s] for s, b in values if s in of}
@@ -492,34 +486,69 @@ def cluster(values: list[tuple[str, str | None]], edges: list[tuple[str, str, fl
     return out
 
 
-def _large_classes(rows: DataFrame, edges: DataFrame, comps: DataFrame) -> DataFrame:
-    """(doc, sig, base_sig, class_sig) for components too large for one row, by joins only.
+def _linkage(full: DataFrame, links: DataFrame) -> DataFrame:
+    """(doc, sig, class_sig): ``linkage`` by joins, each round written to the shared folder.
 
-    Full names are grouped by their connections, as ``cluster`` does beyond
-    LINKAGE_MOST; a partial one joins the only class it fits, or the one its base
-    form names, else it stays alone.
+    full: (doc, sig); links: (doc, a, b, cosine) with a < b.
     """
+    least = round(LINKAGE * PARTS)
+    labels = full.select("doc", "sig", F.col("sig").alias("class_sig"))
+    sizes = full.select("doc", F.col("sig").alias("x"), F.lit(1).cast("long").alias("n"))
+    sums = links.select("doc", F.col("a").alias("x"), F.col("b").alias("y"), F.floor(F.col("cosine") * PARTS + 0.5).cast("long").alias("s"))
+    while True:
+        known = sums.join(sizes.withColumnRenamed("n", "nx"), ["doc", "x"]).join(sizes.select("doc", F.col("x").alias("y"), F.col("n").alias("ny")), ["doc", "y"])
+        near = known.where(F.col("s") >= least * F.col("nx") * F.col("ny")).select("doc", F.struct((-(F.col("s") / (F.col("nx") * F.col("ny")))).alias("far"), "x", "y").alias("pair"))
+        best = near.select("doc", "pair", F.explode(F.array("pair.x", "pair.y")).alias("of")).groupBy("doc", "of").agg(F.min("pair").alias("pair"))
+        into = staged(best.groupBy("doc", "pair").agg(F.count("*").alias("times")).where("times = 2").select("doc", F.col("pair.y").alias("y"), F.col("pair.x").alias("into")), "name-merges")
+        if into.limit(1).count() == 0:
+            return labels
+        moved = lambda df, c: df.join(into.withColumnRenamed("y", c), ["doc", c], "left").withColumn(c, F.coalesce("into", c)).drop("into")  # noqa: B023, E731
+        labels = staged(moved(labels, "class_sig").select("doc", "sig", "class_sig"), "name-labels")
+        sizes = staged(moved(sizes, "x").groupBy("doc", "x").agg(F.sum("n").alias("n")), "name-sizes")
+        sums = moved(moved(sums, "x"), "y").where("x <> y").select("doc", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "s")
+        sums = staged(sums.groupBy("doc", "x", "y").agg(F.sum("s").alias("s")), "name-sums")
+
+
+@F.pandas_udf(T.BooleanType())
+def _names_member(base: pd.Series, member: pd.Series) -> pd.Series:
+    return pd.Series([b == m or compare(b, m, {})[0] == "full" for b, m in zip(base, member, strict=True)])
+
+
+def _large_classes(rows: DataFrame, edges: DataFrame, comps: DataFrame) -> DataFrame:
+    """(doc, sig, base_sig, class_sig) for components too large for one row: what ``cluster`` gives, by joins only."""
     large = staged(comps.select("doc", "sig"), "name-large")
     values = rows.join(large, ["doc", "sig"], "left_semi").select("doc", "sig", "base_sig").distinct()
-    empty = values.limit(0).withColumn("class_sig", F.col("sig"))
     if large.limit(1).count() == 0:
-        return empty
+        return values.limit(0).withColumn("class_sig", F.col("sig"))
     partial = F.udf(is_partial, "boolean")
-    full = large.where(~partial("sig"))
-    links = edges.where("verdict = 'full'").join(full.withColumnRenamed("sig", "a"), ["doc", "a"], "left_semi").join(full.withColumnRenamed("sig", "b"), ["doc", "b"], "left_semi")
-    labels = _components(full, staged(links, "name-large-links")).withColumnRenamed("comp", "label")
-    named = full.join(labels, ["doc", "sig"], "left").select("doc", "sig", F.coalesce("label", "sig").alias("class_sig"))
-    named = staged(named, "name-large-classes")
+    values = staged(values.withColumn("partial", partial("sig")).withColumn("initials", F.element_at(F.split("sig", "[|]"), 2) != ""), "name-large-values")
+    edges = staged(edges.join(large.withColumnRenamed("sig", "a"), ["doc", "a"], "left_semi"), "name-large-edges")  # an edge's ends are in one component
     both = edges.select("doc", F.col("a").alias("sig"), F.col("b").alias("other")).unionByName(edges.select("doc", F.col("b").alias("sig"), F.col("a").alias("other")))
-    others = named.select("doc", F.col("sig").alias("other"), "class_sig")
-    part = values.where(partial("sig"))
-    fits = part.join(both, ["doc", "sig"]).join(others, ["doc", "other"]).groupBy("doc", "sig", F.coalesce("base_sig", F.lit("")).alias("b")).agg(
-        F.countDistinct("class_sig").alias("n"), F.min("class_sig").alias("only"), F.countDistinct(F.when(F.col("other") == F.col("base_sig"), F.col("class_sig"))).alias("nb"), F.min(F.when(F.col("other") == F.col("base_sig"), F.col("class_sig"))).alias("by_base")
-    )
-    part = part.withColumn("b", F.coalesce("base_sig", F.lit(""))).join(fits, ["doc", "sig", "b"], "left")
-    alone = F.when(F.col("n").isNull(), F.col("sig")).otherwise(F.concat(F.lit("?"), F.col("sig"), F.lit("?"), F.col("b")))
-    part = part.select("doc", "sig", "base_sig", F.when(F.col("n") == 1, F.col("only")).when(F.col("nb") == 1, F.col("by_base")).otherwise(alone).alias("class_sig"))
-    return values.join(named, ["doc", "sig"]).select("doc", "sig", "base_sig", "class_sig").unionByName(part)
+    full = values.where("not partial").select("doc", "sig").distinct()
+    links = edges.where("verdict = 'full'").join(full.withColumnRenamed("sig", "a"), ["doc", "a"], "left_semi").join(full.withColumnRenamed("sig", "b"), ["doc", "b"], "left_semi")
+    known = staged(_linkage(full, links), "name-large-classes")
+    out = values.join(known, ["doc", "sig"]).select("doc", "sig", "base_sig", "class_sig")
+    for with_initials in (True, False):
+        part = values.where(F.col("partial") & (F.col("initials") == with_initials)).select("doc", "sig", "base_sig")
+        fits = part.select("doc", "sig").distinct().join(both, ["doc", "sig"]).join(known.withColumnRenamed("sig", "other"), ["doc", "other"]).select("doc", "sig", "class_sig").distinct()
+        fits = staged(fits, "name-fits")
+        number = staged(fits.groupBy("doc", "sig").agg(F.count("*").alias("n"), F.min("class_sig").alias("only")), "name-fitting")
+        # several: the one that the base form names
+        asked = part.where("base_sig is not null").join(number.where("n > 1"), ["doc", "sig"]).select("doc", "sig", "base_sig").join(fits, ["doc", "sig"])
+        told = asked.select("doc", "base_sig", "class_sig").distinct().join(known.withColumnRenamed("sig", "member"), ["doc", "class_sig"])
+        told = told.where(_names_member("base_sig", "member")).select("doc", "base_sig", "class_sig").distinct()
+        named = asked.join(told, ["doc", "base_sig", "class_sig"], "left_semi").groupBy("doc", "sig", "base_sig").agg(F.count("*").alias("names"), F.min("class_sig").alias("by_base"))
+        # none: like with like, through agreeing partial ones
+        fresh = staged(part.select("doc", "sig").distinct().join(number, ["doc", "sig"], "left_anti"), "name-fresh")
+        among = edges.join(fresh.withColumnRenamed("sig", "a"), ["doc", "a"], "left_semi").join(fresh.withColumnRenamed("sig", "b"), ["doc", "b"], "left_semi")
+        alike = fresh.join(_components(fresh, among), ["doc", "sig"], "left").select("doc", "sig", F.coalesce("comp", "sig").alias("own"))
+        alike = staged(alike, "name-alike")
+        placed = part.join(number, ["doc", "sig"], "left").join(named, ["doc", "sig", "base_sig"], "left").join(alike, ["doc", "sig"], "left")
+        unclear = F.concat(F.lit("?"), F.col("sig"), F.lit("?"), F.coalesce("base_sig", F.lit("")))
+        chosen = F.when(F.col("n").isNull(), F.col("own")).when(F.col("n") == 1, F.col("only")).when(F.col("names") == 1, F.col("by_base")).otherwise(unclear)
+        out = out.unionByName(placed.select("doc", "sig", "base_sig", chosen.alias("class_sig")))
+        known = staged(known.unionByName(alike.select("doc", "sig", F.col("own").alias("class_sig"))), "name-large-classes")
+    return out
 
 
 def name_classes(df: DataFrame, entity: str = "entity_id", doc: str = "doc_id", text: str = "text", base: str = "base_form", type_: str = "type") -> DataFrame:

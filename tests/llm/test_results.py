@@ -143,6 +143,44 @@ def test_large_components_are_grouped_by_joins(spark, monkeypatch):
     assert len(whole) > 100 and len(whole ^ joined) <= 0.03 * len(whole)
 
 
+def test_joins_give_what_one_row_gives(spark, monkeypatch):
+    rows = [(1, "J. Smith", None), (2, "Smith", None), (3, "Smith's", None), (4, "J.K. Smith", None), (5, "Morin", "Frederik Morin"), (6, "Frederick Morin", None), (7, "Andrew Morin", None), (8, "MORIN, Frederick", None), (9, "Fred Morin", None), (10, "Mr. Morin", None), (11, "HTA", None), (12, "H.T.A.", None), (13, "Ada Smithson", None)]
+    df = spark.createDataFrame([(i, 1, t, "PERSON", b) for i, t, b in rows], "entity_id long, doc_id long, text string, type string, base_form string")
+    t = spark.read.parquet("/root/testdata/sf0.001/entity_models.parquet")
+    one_document = t.withColumn("doc_id", F.col("doc_id") % 3)  # many names in each, so that partial ones fit several
+    for x in (df, t, one_document):
+        monkeypatch.setattr(names, "ROW_VALUES", 10**6)
+        whole = set(map(tuple, names.same_name(x).collect()))
+        monkeypatch.setattr(names, "ROW_VALUES", 0)
+        assert whole and set(map(tuple, names.same_name(x).collect())) == whole
+
+
+def test_linkage_merges_the_nearest_first():
+    """Average linkage of a component of any size against the plain way of it."""
+    rng = random.Random(2)
+    for n in (5, 30, 60, 450):
+        full = [f"n{i:03}" for i in range(n)]
+        sim = {a: {} for a in full}
+        for a in full:
+            for b in rng.sample(full, min(n, 6)):
+                if a < b:
+                    sim[a][b] = sim[b][a] = rng.choice([0.2, 0.5, 0.5, 0.7, rng.random()])
+        parts = {a: {b: int(c * names.PARTS + 0.5) for b, c in r.items()} for a, r in sim.items()}
+        groups = {a: [a] for a in full}
+        while True:
+            best = min(((-x / (len(groups[a]) * len(groups[b])), a, b) for a, r in parts.items() for b, x in r.items() if a < b), default=(0, "", ""))
+            if -best[0] < names.LINKAGE * names.PARTS:
+                break
+            _, a, b = best
+            groups[a] += groups.pop(b)
+            for c, x in parts.pop(b).items():
+                del parts[c][b]
+                if c != a:
+                    parts[a][c] = parts[c][a] = parts[a].get(c, 0) + x
+        got = names.linkage(full, sim)
+        assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in groups.items()}
+
+
 def test_similar_by_brute_force(spark):
     """The prefix join loses no pair that reaches the cosine."""
     import math
