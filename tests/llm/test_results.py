@@ -307,6 +307,29 @@ def test_spam(text, is_spam):
     assert (spam.unnatural_share(text, find) >= spam.SPAM_SHARE) == is_spam
 
 
+_TERMS = "toner label binder stapler fax vpn badge holder printer scanner folder ribbon lamp desk chair shelf cable router modem tablet charger battery envelope stamp marker eraser glue tape cutter ruler compass globe atlas poster frame canvas brush palette easel clay".split()
+_ITALIAN = "Abbiamo trovato ieri sera alcune vecchie lettere. Mario voleva leggerle subito. Nessuno sapeva dove fossero nate. Forse qualcuno ricorda ancora questo posto. Domani torneremo insieme verso casa."
+
+
+@pytest.mark.parametrize(
+    "text, is_spam",
+    [
+        *[(sep.join(_TERMS), True) for sep in (" ", ", ", "\n", " | ", " - ", "; ")],
+        (", ".join(f"{a}{b}" for a in _TERMS for b in _TERMS), True),  # long and without any word twice
+        (", ".join(f"{a} {b}" for a, b in zip(_TERMS, reversed(_TERMS))), True),
+        ("This is the list that we keep for you.\n" + ", ".join(_TERMS), True),
+        ("\n".join(f"{a} | {b}" for a, b in zip(_TERMS[::2], _TERMS[1::2])), False),  # a table
+        ("\n".join(f"{a}: {b}" for a, b in zip(_TERMS[::2], _TERMS[1::2])), False),  # fields
+        (_ITALIAN, False),
+        (" ".join(_TERMS[:12]), False),  # too short to tell
+        ("We asked for a " + " and a ".join(_TERMS) + " in the letter.", False),
+    ],
+)
+def test_lists_of_distinct_words(text, is_spam):
+    find = re.compile(spam._TOKEN, re.I).findall
+    assert (spam.unnatural_share(text, find) >= spam.SPAM_SHARE) == is_spam
+
+
 def test_queries_have_their_columns(spark):
     from maskweave.llm import queries
 
