@@ -444,11 +444,17 @@ def risk_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, CAST(sum(CASE WHEN length(text) > 0 THEN (length(text) - 1) // 600 + 1 ELSE 0 END) AS BIGINT) AS passages FROM (SELECT doc_id, replace(text, chr(10), ' ') AS text FROM documents WHERE text IS NOT NULL AND length(text) > 800 AND regexp_full_match(text, '[^\\s]+( [^\\s]+)*')) GROUP BY doc_id")
 def risk_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Long texts of one paragraph are cut every 600 characters."""
+    """Long texts of one paragraph are cut every 600 characters: what its SQL can say; risk_passages_all has all documents."""
     t = docs(spark, sf_dir).where(F.length("text") > 800).where(F.col("text").rlike(r"^[^\t\n\f\r ]+( [^\t\n\f\r ]+)*$"))
     return t.select("doc_id", F.size(risk.passages(F.col("text"))).cast("long").alias("passages"))
 
 
+@query()
+def risk_passages_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The passages of all documents; a text without any has no row."""
+    return docs(spark, sf_dir).select("doc_id", F.posexplode(risk.passages(F.col("text"))).alias("window_no", "passage"))
+
+
 # evaluation
 
 _DIRECT = ", ".join(O.q(x) for x in evaluate.DIRECT)

@@ -1,6 +1,7 @@
 """Entities, maps, rewriting, restoring, reports, against sequential brute force."""
 
 import random
+import re
 
 import pytest
 from hypothesis import given, settings
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from maskweave import patterns as P
 from maskweave.operators import chunking, detect, entities, evaluate, mapping, residual, restore, risk, spans, tables
-from maskweave.plans import pipeline
+from maskweave.plans import pipeline, queries
 
 TEXT = "Mail jane@acme.org or call +1 (555) 123-4567; card 4111 1111 1111 1111, again jane@acme.org. IP 10.0.0.1, SSN 123-45-6789, on 2019-06-20."
 
@@ -190,6 +191,23 @@ def test_risk(spark, text, overall, windows):
     assert (r.overall, r.window_count) == (overall, windows)
 
 
+def test_passages_of_all_documents(spark, tmp_path):
+    """Against brute force: nulls, blank lines, trimming, short and long passages."""
+    trimmed = lambda x: re.sub(r"^[ \t\n\v\f\r\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+|[ \t\n\v\f\r\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+$", "", x)
+
+    def brute(text):
+        parts = [trimmed(x) for x in re.split(r"\n[ \t\n\v\f\r]*\n", text or "")]
+        cut = [[p] if len(p) <= 800 else [trimmed(p[i : i + 800]) for i in range(0, len(p), 600)] for p in parts]
+        return [p for c in cut for p in c if p]
+
+    rows = [(10**9 + i, t) for i, t in enumerate([None, "", " \n\n ", "a", "a\n\nb \n \t\n\u3000c\n", "one\ntwo", "x" * 800, "x" * 801, "é \U0001f600" * 400 + "\n\nend", " " * 900 + "y", "w " * 1000])]
+    small = spark.createDataFrame(rows, "doc_id long, text string")
+    spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").unionByName(small).write.parquet(f"{tmp_path}/documents.parquet")
+    want = {(r.doc_id, k, p) for r in spark.read.parquet(f"{tmp_path}/documents.parquet").collect() for k, p in enumerate(brute(r.text))}
+    got = queries.queries()["risk_passages_all"](spark, str(tmp_path)).collect()
+    assert len(got) == len(want) and set(map(tuple, got)) == want
+
+
 def test_entity_list_risk(spark):
     r = risk.entity_list_risk(frame(spark, [(1, 1, "CEO", "JOB_TITLE", ""), (1, 2, "Acme", "ORGANIZATION", ""), (1, 3, "Rome", "LOCATION", "")])).first()
     assert r.overall == "high" and r.excerpt == "CEO; Acme; Rome"
