@@ -154,7 +154,9 @@ def buildings(df: DataFrame, id_col: str = "sample_id", address: str = "address_
     """(id, locality, number, street, kind): the building of every address that has a number, a street and a locality.
 
     Null, empty and filler values and addresses without a number, street or
-    locality have no row.  kind is empty where the type is not known.  Repeated
+    locality have no row.  kind is empty where the type is not known, also where
+    a street's name has several types in the block: such an address is at a
+    building of its own, with those written without a type like it.  Repeated
     rows get a row each; everything is worked out once for each distinct text.
     """
     rows = df.where(F.length(address) > 0).select(F.col(id_col).alias("row_id"), F.sha2(F.col(address), 256).alias("address_key"), F.col(address).alias("address"))
@@ -207,8 +209,8 @@ def buildings(df: DataFrame, id_col: str = "sample_id", address: str = "address_
     only = values.where("kind <> ''").groupBy(*block, "known").agg(F.countDistinct("kind").alias("kinds"), F.min("kind").alias("only_kind"))
     values = values.join(only, [*block, "known"], "left")
     chosen = F.when((F.col("kind") == "") & (F.col("kinds") == 1), F.col("only_kind")).otherwise(F.col("kind"))
-    values = values.select(*block, "street", "kind", F.col("known"), chosen.alias("chosen"), (F.col("kind").eqNullSafe("") & (F.coalesce("kinds", F.lit(0)) > 1)).alias("open"))
-    out = placed.join(values.where("not open"), [*block, "street", "kind"])
+    values = values.select(*block, "street", "kind", F.col("known"), chosen.alias("chosen"))
+    out = placed.join(values, [*block, "street", "kind"])
     out = out.select(F.col("rec_id").alias("address_key"), "locality", "number", F.col("known").alias("street"), F.col("chosen").alias("kind"))
     return rows.select("row_id", "address_key").join(out, "address_key").select(F.col("row_id").alias(id_col), "locality", "number", "street", "kind")
 

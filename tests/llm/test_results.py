@@ -110,6 +110,19 @@ def test_buildings(spark):
     assert 3 not in got or got[3][:3] == ("ulmton", "7", "orchard")
 
 
+def test_addresses_without_a_type_keep_their_rows(spark):
+    """Two types of one street in the block leave an untyped address undecided, but with its equals."""
+    rows = [(i, f"{i % 40 + 1} {('Orchard', 'Beacon')[i % 2]} Street, 5432{i % 2} {('Ulmton', 'Garwick')[i % 2]}") for i in range(600, 720)]
+    rows += [(1, "7 Orchard Street, Ulmton"), (2, "7 Orchard Lane, Ulmton"), (3, "7 Orchard, Ulmton"), (4, "7 Orchard, Ulmton"), (5, "Ulmton, Orchard 7"), (6, "9 Orchard, Ulmton"), (7, "9 Orchard Street, Ulmton")]
+    df = spark.createDataFrame(rows, "sample_id long, address_1 string")
+    got = {r.sample_id: (r.locality, r.number, r.street, r.kind) for r in addresses.buildings(df).collect()}
+    assert set(got) == {i for i, _ in rows}
+    assert got[3] == got[4] == got[5] == ("ulmton", "7", "orchard", "") and got[6] == got[7]
+    pairs = {(a, b) for a, b in addresses.same_building(df).collect() if b < 8}
+    assert pairs == {(3, 4), (3, 5), (4, 5), (6, 7)}
+    assert sorted(r.sample_id for r in addresses.building_classes(df).collect()) == sorted(i for i, _ in rows)
+
+
 # 6: names
 
 
