@@ -12,11 +12,9 @@ from maskweave.session import table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = []
-    for name, key in (("entity_models", "entity_id"), ("fixtures", "fixture_id")):
-        strange = skeleton.inconsistent(table(spark, sf_dir, name).select(key, "text"))
-        out.append(strange.select(F.lit(name).alias("tbl"), F.col(key).alias("row_id")))
-    return out[0].unionByName(out[1])
+    keys = (("entity_models", "entity_id"), ("fixtures", "fixture_id"))
+    values = [table(spark, sf_dir, t).select(F.lit(t).alias("tbl"), F.col(k).alias("row_id"), "text") for t, k in keys]
+    return skeleton.inconsistent(values[0].unionByName(values[1])).select("tbl", "row_id")
 
 
 def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
