@@ -6,8 +6,9 @@
 2. spelling     a deletion-neighbourhood index over the words of all addresses: two
                 words that become equal by leaving out one letter each are
                 neighbours, and a word yields to a neighbour that is much more
-                frequent.  The index is aggregated by variant, never joined with
-                itself, so a frequent variant makes no pairs.
+                frequent.  The index holds each distinct word once, and the words of
+                a variant differ from it in one letter, so their number is bounded by
+                its length, however large the input is.
 3. localities   every postcode takes the town that most addresses give with it, so
                 an address with either of them gets its locality.
 4. assignment   blocks are (locality, number, letter): a different number is a hard
@@ -132,22 +133,29 @@ def _close(a: Column, b: Column) -> Column:
 def _better(values: DataFrame, block: list[str], word: str, count: str, times: int, least_length: int) -> DataFrame:
     """(block, word, better): for words that have a close neighbour in their block which is at least ``times`` as frequent.
 
-    Ties go to the smaller word.  Both steps are aggregations, by variant and by word.
+    Every word is compared with all words of its variants and goes to the most
+    frequent close one; where that one goes to another itself, the word goes with
+    it.  Ties go to the smaller word.
     """
-    rank = F.struct((-F.col(count)).alias("n"), F.col(word).alias("w"))
-    variants = values.where(F.length(word) >= least_length).select(*block, word, count, F.explode(deletions(F.col(word))).alias("variant"))
-    best_of_variant = variants.groupBy(*block, "variant").agg(F.min(rank).alias("best"))
-    by_word = variants.join(best_of_variant, [*block, "variant"]).where((F.col("best.w") != F.col(word)) & _close(F.col("best.w"), F.col(word)) & (-F.col("best.n") >= F.col(count) * times))
-    return by_word.groupBy(*block, word).agg(F.min("best")["w"].alias("better"))
+    rank = lambda n, w: F.struct((-F.col(n)).alias("n"), F.col(w).alias("w"))
+    known = values.where(F.length(word) >= least_length).select(*block, F.col(word).alias("word"), F.col(count).alias("own"))
+    variants = known.select(*block, "word", "own", F.explode(deletions(F.col("word"))).alias("variant"))
+    others = variants.select(*block, "variant", F.col("word").alias("other"), F.col("own").alias("times"))
+    near = variants.join(others, [*block, "variant"]).where((rank("times", "other") < rank("own", "word")) & (F.col("times") >= F.col("own") * times) & _close(F.col("other"), F.col("word")))
+    to = staged(near.groupBy(*block, "word").agg(F.min(rank("times", "other"))["w"].alias("better")), "address-better")
+    while True:
+        onwards = to.select(*block, F.col("word").alias("better"), F.col("better").alias("further"))
+        to = staged(to.join(onwards, [*block, "better"], "left").select(*block, "word", F.coalesce("further", "better").alias("better"), F.col("further").isNotNull().alias("moved")), "address-better")
+        if to.where("moved").limit(1).count() == 0:
+            return to.select(*block, F.col("word").alias(word), "better")
+        to = to.drop("moved")
 
 
 def _respelled(words: DataFrame, times: int = 4) -> DataFrame:
     """(word, good): each word with its good spelling, by counts over all addresses."""
     counts = staged(words.groupBy("word").agg(F.count("*").alias("n")), "address-words")
     better = _better(counts, [], "word", "n", times, 4)
-    first = staged(counts.join(better, "word", "left").select("word", F.coalesce("better", "word").alias("good")), "address-spelling")
-    onwards = first.select(F.col("word").alias("good"), F.col("good").alias("further"))
-    return first.join(onwards, "good").select("word", F.col("further").alias("good"))
+    return counts.join(better, "word", "left").select("word", F.coalesce("better", "word").alias("good"))
 
 
 def buildings(df: DataFrame, id_col: str = "sample_id", address: str = "address_1") -> DataFrame:

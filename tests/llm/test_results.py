@@ -121,6 +121,17 @@ def test_buildings(spark):
     assert 3 not in got or got[3][:3] == ("ulmton", "7", "orchard")
 
 
+def test_every_close_word_is_tried(spark):
+    """A frequent word that is not close takes no variant from one that is; chains are followed to their end."""
+    counts = spark.createDataFrame([("linden", 50), ("linens", 80), ("linten", 1), ("orchard", 400), ("orchrad", 20), ("orchrda", 2), ("abcdef", 9), ("abcdeg", 9), ("mill", 30), ("hill", 29)], "word string, n long")
+    assert dict(map(tuple, addresses._better(counts, [], "word", "n", 4, 4).collect())) == {"linten": "linden", "orchrad": "orchard", "orchrda": "orchard"}
+    tied = dict(map(tuple, addresses._better(counts.where("n in (9, 29, 30)"), [], "word", "n", 1, 4).collect()))
+    assert tied == {"abcdeg": "abcdef", "hill": "mill"}
+    rows = [(i, f"{i % 40 + 1} Linden Street, Ulmton") for i in range(600, 650)] + [(i, f"{i % 40 + 1} Linens Street, Ulmton") for i in range(700, 780)]
+    rows += [(1, "90 Linten, Ulmton"), (2, "90 Linden, Ulmton")]  # without a type there is no second chance
+    assert (1, 2) in set(map(tuple, addresses.same_building(spark.createDataFrame(rows, "sample_id long, address_1 string")).collect()))
+
+
 def test_addresses_without_a_type_keep_their_rows(spark):
     """Two types of one street in the block leave an untyped address undecided, but with its equals."""
     rows = [(i, f"{i % 40 + 1} {('Orchard', 'Beacon')[i % 2]} Street, 5432{i % 2} {('Ulmton', 'Garwick')[i % 2]}") for i in range(600, 720)]
