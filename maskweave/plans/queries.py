@@ -531,12 +531,22 @@ def restored_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Formulas are left out of the comparison: an amount such as ``$4`` in
     ``=$B$4`` leaves its label glued to a letter, and a label is restored at a
-    word's start only.
+    word's start only.  restored_tables_all has them too.
     """
     m = pipeline.anonymize_tables(_cells(spark, sf_dir))
     return pipeline.deanonymize_tables(m.docs, mapping.inverted(m.mapping)).where("kind = 'text'").select("doc_id", "row", "col", "search_text")
 
 
+@query()
+def restored_tables_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every cell after masking and restoring, with whether it is what it was; formulas may have lost labels glued to letters."""
+    cells = _cells(spark, sf_dir)
+    m = pipeline.anonymize_tables(cells)
+    back = pipeline.deanonymize_tables(m.docs, mapping.inverted(m.mapping)).select("doc_id", "row", "col", F.col("search_text").alias("restored_text"))
+    both = cells.select("doc_id", "row", "col", "kind", "search_text").join(back, ["doc_id", "row", "col"], "left")
+    return both.select("doc_id", "row", "col", "kind", "restored_text", F.col("search_text").eqNullSafe(F.col("restored_text")).alias("same"))
+
+
 @query()
 def table_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells, sheets = _cells(spark, sf_dir), _sheets(spark, sf_dir)

@@ -208,6 +208,14 @@ def test_passages_of_all_documents(spark, tmp_path):
     assert len(got) == len(want) and set(map(tuple, got)) == want
 
 
+def test_all_cells_come_back_or_are_told(spark):
+    cells = queries._cells(spark, "/root/testdata/sf0.001")
+    got = queries.queries()["restored_tables_all"](spark, "/root/testdata/sf0.001").collect()
+    assert {(r.doc_id, r.row, r.col) for r in got} == {(r.doc_id, r.row, r.col) for r in cells.collect()} and len(got) == cells.count()
+    assert {r.kind for r in got} == {"text", "formula", "empty"}
+    assert {r.kind for r in got if not r.same} <= {"formula"}  # the deviation of the README
+
+
 def test_entity_list_risk(spark):
     r = risk.entity_list_risk(frame(spark, [(1, 1, "CEO", "JOB_TITLE", ""), (1, 2, "Acme", "ORGANIZATION", ""), (1, 3, "Rome", "LOCATION", "")])).first()
     assert r.overall == "high" and r.excerpt == "CEO; Acme; Rome"
