@@ -10,10 +10,11 @@ MAX_TABLE_BYTES = 50 * 1024 * 1024
 MAX_TABLE_CELLS = 500_000
 
 # Types and operators of the safe-harbor bundle.
-SAFE_HARBOR_TYPES = (
-    "PERSON ADDRESS LOCATION DATE DATE_ISO AGE PHONE FAX EMAIL SSN MEDICAL_RECORD MEDICAL_NPI_US MEDICAL_LICENSE HEALTH_PLAN_ID ACCOUNT ID DRIVERS_LICENSE PASSPORT VIN MAC_ADDRESS "
-    "URL IPV4_ADDRESS IPV6_ADDRESS IP_ADDRESS DEVICE_ID BIOMETRIC PHOTO ORGANIZATION INDIRECT CREDIT_CARD IBAN"
-).split()
+SAFE_HARBOR_TYPES = [
+    "PERSON", "ADDRESS", "LOCATION", "DATE", "DATE_ISO", "AGE", "PHONE", "FAX", "EMAIL", "SSN", "MEDICAL_RECORD",
+    "MEDICAL_NPI_US", "MEDICAL_LICENSE", "HEALTH_PLAN_ID", "ACCOUNT", "ID", "DRIVERS_LICENSE", "PASSPORT", "VIN", "MAC_ADDRESS", "URL", "IPV4_ADDRESS",
+    "IPV6_ADDRESS", "IP_ADDRESS", "DEVICE_ID", "BIOMETRIC", "PHOTO", "ORGANIZATION", "INDIRECT", "CREDIT_CARD", "IBAN",
+]
 SAFE_HARBOR_OPERATORS = {"DATE": "generalize", "DATE_ISO": "generalize", "ADDRESS": "generalize", "AGE": "generalize"}
 ENTITY_PROFILES = {"hipaa-safe-harbor": (SAFE_HARBOR_TYPES, SAFE_HARBOR_OPERATORS)}
 

@@ -1,7 +1,7 @@
 """Entities from a language model: prompts, client, retries, cache.
 
 No client for a service is shipped; anything with ``complete(prompt) -> str``
-serves.  Answers are cached by model and prompt after they have been validated.
+serves, and ``PatternClient`` shows how.  Answers are cached by model and prompt after they have been validated.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from maskweave.session import staged
+
 # Own wording of the prompts; {text} is replaced literally, so other braces are safe.
 _ANSWER = 'Answer with one JSON object {"entities": [{"text": "...", "type": "...", "base_form": "..."}]} and nothing else. Copy every text exactly as it stands.'
 PROMPTS = {
@@ -32,6 +34,30 @@ class Client(Protocol):
     def complete(self, prompt: str) -> str: ...
 
 
+class PatternClient:
+    """A client without a service: a deterministic one that names what a pattern finds in the prompt's text.
+
+    For trying out the way through a model, and for tests.  Every prompt whose
+    MD5 begins with a digit below ``failing`` is refused on its first try, as a
+    busy service would.  A first group of the pattern is the base form.
+    """
+
+    MARK = "\nText:\n"
+
+    def __init__(self, pattern: str, type_: str = "PERSON", failing: int = 0) -> None:
+        self.pattern, self.type_, self.failing = pattern, type_, failing
+        self.refused: set[str] = set()
+
+    def complete(self, prompt: str) -> str:
+        digest = hashlib.md5(prompt.encode()).hexdigest()
+        if digest[0] < str(self.failing) and digest not in self.refused:
+            self.refused.add(digest)
+            raise RuntimeError("429 too many requests")
+        _, mark, text = prompt.partition(self.MARK)
+        found = [{"text": m[0], "type": self.type_, "base_form": m[1] if m.re.groups else None} for m in re.finditer(self.pattern, text if mark else prompt)]
+        return json.dumps({"entities": found})
+
+
 # Words by which errors are told apart, in the order they are tried.
 _ERRORS = (
     ("RATE_LIMIT_ERROR", ("429", "rate limit", "ratelimit")),
@@ -66,16 +92,16 @@ def parse_answer(answer: str) -> list[dict]:
     return out
 
 
-def ask(client: Client, prompt: str, retries: int = 3, base_delay: float = 1.0, max_delay: float = 10.0, sleep: Callable[[float], None] = time.sleep) -> list[dict]:
-    """The entities of one prompt; waits grow twofold with up to a tenth at random; empty after the last failure."""
+def ask(client: Client, prompt: str, retries: int = 3, base_delay: float = 1.0, max_delay: float = 10.0, sleep: Callable[[float], None] = time.sleep) -> list[dict] | None:
+    """The entities of one prompt, or None after the last failure; waits grow twofold with up to a tenth at random."""
     for attempt in range(max(1, retries)):
         try:
             return parse_answer(client.complete(prompt))
         except Exception as e:
             if not classify(e)[0] or attempt + 1 >= retries:
-                return []
+                return None
             sleep(min(max_delay, base_delay * 2**attempt) * (1 + random.random() / 10))
-    return []
+    return None
 
 
 def prompt_key(model: str, prompt: str) -> str:
@@ -86,7 +112,10 @@ def model_hits(chunks: DataFrame, client: Client, template: str = PROMPTS["simpl
     """(hits, new cache rows) of chunks (doc, chunk_idx, text).
 
     Each distinct prompt is asked once; prompts that the cache (key, entities)
-    holds are not asked.  The client is sent to the workers, so it must pickle.
+    holds are not asked.  A prompt that failed gives no hits and no cache row, so
+    it is asked again next time.  Answers are written to the shared folder,
+    since asking twice may answer twice.  The client is sent to the workers, so
+    it must pickle.
     """
     key = F.concat(F.lit(f"{model}:"), F.md5(F.replace(F.lit(template), F.lit("{text}"), F.col("text"))))
     keyed = chunks.withColumn("key", key)
@@ -95,13 +124,14 @@ def model_hits(chunks: DataFrame, client: Client, template: str = PROMPTS["simpl
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             got = [ask(client, template.replace("{text}", t), retries, base_delay, max_delay) for t in b["text"]]
-            if len(b):
-                yield pd.DataFrame({"key": b["key"], "entities": got})
+            answered = [g is not None for g in got]
+            if any(answered):
+                yield pd.DataFrame({"key": b["key"], "entities": got})[answered]
 
     todo = keyed.select("key", "text").dropDuplicates(["key"])
     if cache is not None:
         todo = todo.join(cache.select("key"), "key", "left_anti")
-    new = todo.mapInPandas(run, schema)
+    new = staged(todo.mapInPandas(run, schema), "answers")
     answers = new if cache is None else new.unionByName(cache.select("key", "entities"))
     joined = keyed.select(doc, "chunk_idx", "key").join(answers, "key").select(doc, "chunk_idx", F.posexplode("entities").alias("match_idx", "e"))
     hits = joined.select(doc, F.col("chunk_idx").cast("long").alias("chunk_idx"), F.lit(1).alias("stage"), F.lit(0).alias("pattern_idx"), "match_idx", "e.text", "e.type", "e.base_form")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from maskweave import patterns as P
 from maskweave.operators.detect import denied, kept_out, type_allowed
-from maskweave.session import staged
+from maskweave.session import ranked, staged
 
 ORDER = ("chunk_idx", "stage", "pattern_idx", "match_idx")
 
@@ -41,27 +41,29 @@ ROW_ENTITIES = 1_000
 GRAM = 4
 
 
-def merged_bases(entities: DataFrame, doc: str = "doc_id", seeds: list[str] | None = None) -> DataFrame:
+def merged_bases(entities: DataFrame, doc: str = "doc_id", seeds: DataFrame | None = None) -> DataFrame:
     """(doc, ord, text, type, base_form): each base form replaced by the longest other one of the document that contains it.
 
-    Ties of length go to the smaller text.  ``seeds`` are more base forms that
-    hold for every document.  The entities of a document with at most
-    ROW_ENTITIES meet in one row and are unfolded again; those of larger ones
-    (whole tables) are joined.  Both ways give the same.  The entities are written
-    to the shared folder for that, so it must be as private as the texts.
+    Ties of length go to the smaller text.  ``seeds`` is an earlier map whose
+    originals (``original``) are base forms for every document; it is joined.
+    The entities of a document with at most ROW_ENTITIES meet in one row and are
+    unfolded again; those of larger ones (whole tables) are joined.  Both ways
+    give the same.  The entities are written to the shared folder for that, so it
+    must be as private as the texts.
     """
-    sized = staged(entities.withColumn("_n", F.count("*").over(W.partitionBy(doc))), "entities")  # read several times, found once
-    small = _merged_in_rows(sized.where(F.col("_n") <= ROW_ENTITIES), doc, seeds)
-    return small.unionByName(_merged_by_grams(sized.where(F.col("_n") > ROW_ENTITIES), doc, seeds))
+    kept = staged(entities, "entities")  # read several times, found once
+    if seeds is not None:
+        return _merged_by_grams(kept, doc, seeds)
+    large = kept.groupBy(F.col(doc).alias("_large")).count().where(F.col("count") > ROW_ENTITIES).select("_large")
+    of_large = F.col(doc).eqNullSafe(F.col("_large"))
+    return _merged_in_rows(kept.join(large, of_large, "left_anti"), doc).unionByName(_merged_by_grams(kept.join(large, of_large, "left_semi"), doc, None))
 
 
-def _merged_in_rows(entities: DataFrame, doc: str, seeds: list[str] | None) -> DataFrame:
+def _merged_in_rows(entities: DataFrame, doc: str) -> DataFrame:
     one = entities.groupBy(doc).agg(F.collect_list(F.struct("ord", "text", "type", "base_form")).alias("_e"))
     forms = F.filter(F.array_distinct(F.transform("_e", lambda e: e["base_form"])), lambda f: f != "")
-    if seeds:
-        forms = F.array_union(forms, F.array(*[F.lit(s) for s in seeds]))
-    ranked = F.transform(F.array_sort(F.transform(forms, lambda f: F.struct((-F.length(f)).alias("n"), f.alias("f")))), lambda x: x["f"])
-    one = one.withColumn("_forms", ranked)
+    by_length = F.transform(F.array_sort(F.transform(forms, lambda f: F.struct((-F.length(f)).alias("n"), f.alias("f")))), lambda x: x["f"])
+    one = one.withColumn("_forms", by_length)
 
     def merged(e: Column) -> Column:
         b = e["base_form"]
@@ -71,31 +73,40 @@ def _merged_in_rows(entities: DataFrame, doc: str, seeds: list[str] | None) -> D
     return one.select(doc, F.inline(F.transform("_e", merged)))
 
 
-def _merged_by_grams(entities: DataFrame, doc: str, seeds: list[str] | None) -> DataFrame:
-    """The same by a join: what contains a form holds the form's rarest gram too."""
-    forms = entities.where("base_form <> ''").select(F.col(doc).alias("_d"), F.col("base_form").alias("_f")).distinct()
-    if seeds:
-        every = F.explode(F.array(*[F.lit(s) for s in seeds])).alias("_f")
-        forms = forms.unionByName(forms.select("_d").distinct().select("_d", every)).distinct()
+def _merged_by_grams(entities: DataFrame, doc: str, seeds: DataFrame | None) -> DataFrame:
+    """The same by a join: what contains a form holds the form's rarest gram too.
+
+    Originals of a seed hold for all documents, so their grams are joined by the gram alone.
+    """
     windows = lambda c, n: F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substr(c, i, F.lit(n)))
     none = F.array().cast("array<string>")
     cut = lambda n: F.when(F.length("_f") >= n, windows(F.col("_f"), n)).otherwise(none)
-    grams = forms.select("_d", "_f", F.explode(F.array_distinct(F.concat(*[cut(n) for n in range(1, GRAM + 1)]))).alias("_g"))
-    counts = grams.groupBy("_d", "_g").agg(F.count("*").alias("_c"))
+    cut_all = F.explode(F.array_distinct(F.concat(*[cut(n) for n in range(1, GRAM + 1)]))).alias("_g")
+    forms = entities.where("base_form <> ''").select(F.col(doc).alias("_d"), F.col("base_form").alias("_f")).distinct()
+    grams = forms.select("_d", "_f", cut_all)
     own = grams.where(F.length("_g") == F.least(F.length("_f"), F.lit(GRAM)))  # a form's longest grams
-    rarest = own.join(counts, ["_d", "_g"]).groupBy("_d", "_f").agg(F.min(F.struct("_c", "_g"))["_g"].alias("_g"))
-    pairs = rarest.withColumnRenamed("_f", "_b").join(grams, ["_d", "_g"]).where((F.length("_f") > F.length("_b")) & F.col("_f").contains(F.col("_b")))
+
+    def containing(holders: DataFrame, keys: list[str]) -> DataFrame:
+        counts = holders.groupBy(*keys).agg(F.count("*").alias("_c"))
+        rarest = own.join(counts, keys, "left").groupBy("_d", "_f").agg(F.min(F.struct(F.coalesce("_c", F.lit(0)).alias("_c"), "_g"))["_g"].alias("_g"))
+        pairs = rarest.withColumnRenamed("_f", "_b").join(holders, keys)
+        return pairs.where((F.length("_f") > F.length("_b")) & F.col("_f").contains(F.col("_b"))).select("_d", "_b", "_f")
+
+    pairs = containing(grams, ["_d", "_g"])
+    if seeds is not None:
+        old = seeds.where("original <> ''").select(F.col("original").alias("_f")).distinct()
+        pairs = pairs.unionByName(containing(old.select("_f", cut_all), ["_g"]))
     best = pairs.groupBy("_d", "_b").agg(F.min(F.struct((-F.length("_f")).alias("n"), "_f"))["_f"].alias("_longer"))
     joined = entities.join(best, (F.col(doc) == F.col("_d")) & (F.col("base_form") == F.col("_b")), "left")
     return joined.select(doc, "ord", "text", "type", F.coalesce("_longer", "base_form").alias("base_form"))
 
 
-def finalised(hits: DataFrame, docs: DataFrame | None = None, doc: str = "doc_id", text: str = "text", types: list[str] | None = None, deny: list[str] | None = None, keep: list[str] | None = None, seeds: list[str] | None = None) -> DataFrame:
+def finalised(hits: DataFrame, docs: DataFrame | None = None, doc: str = "doc_id", text: str = "text", types: list[str] | None = None, deny: list[str] | None = None, keep: list[str] | None = None, seeds: DataFrame | None = None, hot: bool = False) -> DataFrame:
     """(doc, ord, text, type, base_form): the entities of each document, numbered from 1 in order.
 
     distinct texts, then the type filter, denied phrases, the keep-list and the
     merge of base forms.  Denied phrases come after the filter, so CUSTOM always
-    survives it.
+    survives it.  hot: a document may hold a large share of all entities.
     """
     e = distinct_entities(hits, doc)
     if types:
@@ -107,5 +118,8 @@ def finalised(hits: DataFrame, docs: DataFrame | None = None, doc: str = "doc_id
         e = e.unionByName(extra.select(doc, F.lit(1).alias("late"), none.alias("first"), "text", "type", "base_form"))
     if keep:
         e = kept_out(e, keep)
-    e = e.withColumn("ord", F.row_number().over(W.partitionBy(doc).orderBy("late", "first")))
+    if hot:
+        e = ranked(e, [doc], ["late", "first", "text"], "ord", "entity-order")
+    else:
+        e = e.withColumn("ord", F.row_number().over(W.partitionBy(doc).orderBy("late", "first", "text")))
     return merged_bases(e.select(doc, "ord", "text", "type", "base_form"), doc, seeds)

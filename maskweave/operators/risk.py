@@ -12,18 +12,13 @@ CORE = ("PERSON", "JOB_TITLE", "ORGANIZATION", "LOCATION", "ADDRESS", "INDIRECT"
 LONGEST, STRIDE, EXCERPT = 800, 600, 280
 LABEL = r"(?<![\p{L}\p{N}_])[A-Z][A-Z0-9_]*_[0-9]+(?:\.v_[0-9]+)?(?![\p{L}\p{N}_])"
 LEVELS = ("low", "medium", "high")
-# Own wording.
-REASONS = {
-    "indirect": "a phrase without a name still points to one person",
-    "job_org_place": "job, organisation and place stand together",
-    "person_org_place": "person, organisation and place stand together",
-    "person_job_org": "person, job and organisation stand together",
-    "three": "three or more clues to an identity stand together",
-    "two": "two clues to an identity stand together",
-    "one": "one kind of clue only",
-    "none": "no combination of clues",
-    "rare": "this combination of clues stands in one passage only",
-}
+#: Sets of clues that give a passage away, in the order they are tried.
+TELLING = (("INDIRECT",), ("JOB_TITLE", "ORGANIZATION", "LOCATION"), ("PERSON", "ORGANIZATION", "LOCATION"), ("PERSON", "JOB_TITLE", "ORGANIZATION"))
+
+
+def reason(clues: tuple[str, ...] | None = None, count: str = "") -> str:
+    """What a level rests on, said from the clues or their number."""
+    return f"together: {', '.join(c.lower() for c in clues)}" if clues else f"clues together: {count}"
 
 
 def label_type(label: Column) -> Column:
@@ -45,16 +40,15 @@ def score(types: Column) -> Column:
     core = F.size(F.array_intersect(types, F.array(*[F.lit(c) for c in CORE])))
     quasi = F.arrays_overlap(types, F.array(*[F.lit(q) for q in QUASI]))
     timed = has("PERSON") & F.arrays_overlap(types, F.array(F.lit("DATE"), F.lit("DATE_ISO"), F.lit("AGE")))
-    result = lambda level, reason: F.struct(F.lit(level).alias("level"), F.lit(REASONS[reason]).alias("reason"))
+    result = lambda level, why: F.struct(F.lit(level).alias("level"), F.lit(why).alias("reason"))
+    out = F.when(F.lit(False), result("low", ""))
+    for clues in TELLING:
+        out = out.when(has(*clues), result("high", reason(clues)))
     return (
-        F.when(has("INDIRECT"), result("high", "indirect"))
-        .when(has("JOB_TITLE", "ORGANIZATION", "LOCATION"), result("high", "job_org_place"))
-        .when(has("PERSON", "ORGANIZATION", "LOCATION"), result("high", "person_org_place"))
-        .when(has("PERSON", "JOB_TITLE", "ORGANIZATION"), result("high", "person_job_org"))
-        .when(core >= 3, result("high", "three"))
-        .when((core >= 2) | timed, result("medium", "two"))
-        .when(quasi, result("low", "one"))
-        .otherwise(result("low", "none"))
+        out.when(core >= 3, result("high", reason(count="three or more")))
+        .when((core >= 2) | timed, result("medium", reason(count="two")))
+        .when(quasi, result("low", reason(count="one")))
+        .otherwise(result("low", reason(count="none")))
     )
 
 
@@ -73,7 +67,7 @@ def risk_windows(masked: DataFrame, doc: str = "doc_id", text: str = "text") ->
     excerpt = F.when(F.length("passage") <= EXCERPT, F.col("passage")).otherwise(F.concat(F.substr("passage", F.lit(1), F.lit(EXCERPT - 3)), F.lit("...")))
     return w.select(
         F.col("_d").alias(doc), "window_no", F.when(alone, F.lit("medium")).otherwise(F.col("s.level")).alias("level"), "types", "placeholders", excerpt.alias("excerpt"),
-        F.when(alone, F.lit(REASONS["rare"])).otherwise(F.col("s.reason")).alias("reason"),
+        F.when(alone, F.lit(f"{reason(count='several')}, in this passage only")).otherwise(F.col("s.reason")).alias("reason"),
     )
 
 

@@ -105,32 +105,42 @@ def rewritten(docs: DataFrame, mapping: DataFrame, doc: str = "doc_id", text: st
     return joined.withColumn(text, new).select(*docs.columns)
 
 
+def holders(parts: DataFrame, forms: DataFrame, keys: list[str], doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """(_d, keys…, form, payload): the parts of documents that may hold a form of their document between words' ends.
+
+    forms: (doc, form, payload).  Every word of a form is a word of a part that
+    holds it, so parts and forms are joined by the form's rarest word; forms
+    without any word are looked for in every part of their document.
+    """
+    word = r"[\p{L}\p{N}_]+"
+    f = forms.where("form <> ''").select(F.col(doc).alias("_d"), "form", "payload")
+    runs = f.select("_d", "form", "payload", F.explode_outer(F.array_distinct(F.regexp_extract_all("form", F.lit(word), F.lit(0)))).alias("_w"))
+    counts = runs.groupBy("_d", "_w").agg(F.count("*").alias("_n"))
+    rarest = F.min(F.struct("_n", (-F.length("_w")).alias("l"), "_w"))["_w"]
+    keyed = runs.join(counts, ["_d", "_w"], "left").groupBy("_d", "form", "payload").agg(rarest.alias("_w"))
+    filled = parts.where(F.col(text) != "").select(F.col(doc).alias("_d"), *keys, F.col(text).alias("_t"))
+    held = filled.select("_d", *keys, F.explode(F.array_distinct(F.regexp_extract_all("_t", F.lit(word), F.lit(0)))).alias("_w"))
+    pairs = held.join(keyed.where("_w is not null"), ["_d", "_w"]).select("_d", *keys, "form", "payload")
+    signs = keyed.where("_w is null").drop("_w")
+    everywhere = filled.join(signs, "_d").where(F.col("_t").contains(F.col("form"))).select("_d", *keys, "form", "payload")
+    return pairs.unionByName(everywhere)
+
+
 def rewritten_parts(parts: DataFrame, mapping: DataFrame, keys: list[str], doc: str = "doc_id", text: str = "text") -> DataFrame:
     """The parts of documents (cells of tables) with the entities of the whole document written anew in each.
 
     A document may have very many parts and entities, so each part meets only
-    the entities that can stand in it: those whose rarest word it holds.  (A
-    place counts only between words' ends, hence every word of an entity is a
-    word of the part.)  ``keys`` name a part within its document.
+    the entities that can stand in it, see ``holders``.  ``keys`` name a part
+    within its document.
     """
-    word = r"[\p{L}\p{N}_]+"
     m = mapping.where("seen") if "seen" in mapping.columns else mapping
-    m = m.where("original <> ''").select(F.col(doc).alias("_d"), "original", "written")
-    runs = m.select("_d", "original", "written", F.explode_outer(F.array_distinct(F.regexp_extract_all("original", F.lit(word), F.lit(0)))).alias("_w"))
-    counts = runs.groupBy("_d", "_w").agg(F.count("*").alias("_n"))
-    rarest = F.min(F.struct("_n", (-F.length("_w")).alias("l"), "_w"))["_w"]
-    keyed = runs.join(counts, ["_d", "_w"], "left").groupBy("_d", "original", "written").agg(rarest.alias("_w"))
-    held = parts.where(F.col(text) != "").select(F.col(doc).alias("_d"), *keys, F.explode(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(word), F.lit(0)))).alias("_w"))
-    pairs = held.join(keyed.where("_w is not null"), ["_d", "_w"])
-    signs = keyed.where("_w is null").drop("_w")  # entities without any word are looked for in every part
-    everywhere = parts.where(F.col(text) != "").select(F.col(doc).alias("_d"), *keys, F.col(text).alias("_t")).join(signs, "_d").where(F.col("_t").contains(F.col("original"))).drop("_t")
-    pairs = pairs.drop("_w").unionByName(everywhere)
-    side = pairs.groupBy("_d", *keys).agg(F.collect_list(F.struct("original", "written")).alias("_m"))
+    pairs = holders(parts, m.select(doc, F.col("original").alias("form"), F.col("written").alias("payload")), keys, doc, text)
+    side = pairs.groupBy("_d", *keys).agg(F.collect_list(F.struct("form", "payload")).alias("_m"))
 
     @F.pandas_udf("string")
     def run(texts: pd.Series, originals: pd.Series, forms: pd.Series) -> pd.Series:
         return pd.Series([t if o is None else rewrite(t, list(o), dict(zip(o, w, strict=True))) for t, o, w in zip(texts, originals, forms, strict=True)])
 
     joined = parts.join(side.withColumnsRenamed({k: f"_k{k}" for k in keys}), [parts[doc] == F.col("_d"), *[parts[k] == F.col(f"_k{k}") for k in keys]], "left")
-    new = run(F.col(text), F.transform("_m", lambda x: x["original"]), F.transform("_m", lambda x: x["written"]))
+    new = run(F.col(text), F.transform("_m", lambda x: x["form"]), F.transform("_m", lambda x: x["payload"]))
     return joined.withColumn(text, F.when(F.col("_m").isNull(), F.col(text)).otherwise(new)).select(*parts.columns)

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from maskweave.operators.chunking import packed, split_text
-from maskweave.operators.spans import rewritten_parts
+from maskweave.operators.spans import boundary_pattern, holders, rewritten_parts
+from maskweave.session import ranked
 
 #: Fixed value: kinds of cells that patterns are looked for in.
 SEARCHED = ("text", "formula")
@@ -29,17 +29,6 @@ def column_letter(n: Column) -> Column:
     return F.concat(*[F.when(s > 0, digit(s)).otherwise(F.lit("")) for s in reversed(steps)])
 
 
-def column_name(n: int) -> str:
-    """The letters of a 1-based column."""
-    if n < 1:
-        raise ValueError("columns are counted from 1")
-    out = ""
-    while n:
-        n, r = divmod(n - 1, 26)
-        out = chr(65 + r) + out
-    return out
-
-
 def header_labels(cells: DataFrame, sheets: DataFrame) -> DataFrame:
     """(doc_id, sheet, col, label): the first row if all of it is text and unique but for case, else Col A, Col B, …
 
@@ -88,45 +77,54 @@ def model_batches(cells: DataFrame, labels: DataFrame, sheets: DataFrame, size:
     """(doc_id, sheet, batch_no, text): rows of a sheet as addressed lines, packed into batches for a model.
 
     A row that is too long is split into its cells, a cell that is too long into
-    parts; nothing overlaps.  One sheet's units are packed in order.
+    parts; nothing overlaps.  Lines and units are expressions over rows.  Only
+    the packing is sequential: a sheet's units meet in one row, in order; a
+    sheet read from a file has at most MAX_TABLE_CELLS cells.
     """
-    named = cells.where("search_text <> ''").join(labels, ["doc_id", "sheet", "col"], "left")
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        doc, sheet, units = g["doc_id"].iloc[0], g["sheet"].iloc[0], []
-        for row, one in g.sort_values(["row", "col"]).groupby("row", sort=True):
-            head = f"## Row {row}"
-            lines = []
-            for c in one.itertuples(index=False):
-                at, label = f"[{sheet}!{column_name(c.col)}{row}]", c.label if isinstance(c.label, str) else f"Col {column_name(c.col)}"
-                lines.append((at, label, c.search_text))
-            block = "\n".join([head, *[f"{at} {label}: {t}" for at, label, t in lines]])
-            if len(block) <= size:
-                units.append(block)
-                continue
-            for at, label, t in lines:
-                line = f"{at} {label}: {t}"
-                parts = [t] if len(line) <= size else split_text(t, max(size, 1), 0) or [t]
-                units += [f"{head}\n{line}"] if len(line) <= size else [f"{head}\n{at} {label} (part {i}/{len(parts)}): {p}" for i, p in enumerate(parts, 1)]
-        batches = list(packed(units, f"# Sheet: {sheet}", size))
-        return pd.DataFrame({"doc_id": doc, "sheet": sheet, "batch_no": range(len(batches)), "text": batches})
-
-    kind = cells.schema["doc_id"].dataType.simpleString()
-    return named.select("doc_id", "sheet", "row", "col", "search_text", "label").groupBy("doc_id", "sheet").applyInPandas(run, f"doc_id {kind}, sheet string, batch_no int, text string")
+    @F.pandas_udf("array<string>")
+    def cut(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: split_text(t, max(size, 1), 0) or [t])
+
+    @F.pandas_udf("array<string>")
+    def pack(units: pd.Series, heads: pd.Series) -> pd.Series:
+        return pd.Series([list(packed(list(u), h, size)) for u, h in zip(units, heads, strict=True)])
+
+    named = cells.where("search_text <> ''").join(labels, ["doc_id", "sheet", "col"], "left")
+    letters = column_letter(F.col("col"))
+    at = F.concat(F.lit("["), F.col("sheet"), F.lit("!"), letters, F.col("row").cast("string"), F.lit("] "), F.coalesce("label", F.concat(F.lit("Col "), letters)))
+    head = F.concat(F.lit("## Row "), F.col("row").cast("string"), F.lit("\n"))
+    lines = named.select("doc_id", "sheet", "row", "col", at.alias("at"), "search_text", F.concat(at, F.lit(": "), F.col("search_text")).alias("line"))
+    rows = lines.groupBy("doc_id", "sheet", "row").agg(F.array_sort(F.collect_list(F.struct("col", "line", "at", "search_text"))).alias("cells"))  # one row's cells
+    rows = rows.withColumn("block", F.concat(head, F.array_join(F.transform("cells", lambda c: c["line"]), "\n")))
+    short = rows.where(F.length("block") <= size).select("doc_id", "sheet", "row", F.lit(0).alias("col"), F.lit(1).alias("part"), F.col("block").alias("unit"))
+    single = rows.where(F.length("block") > size).select("doc_id", "sheet", "row", F.explode("cells").alias("c")).select("doc_id", "sheet", "row", "c.*")
+    fits = single.where(F.length("line") <= size).select("doc_id", "sheet", "row", "col", F.lit(1).alias("part"), F.concat(head, F.col("line")).alias("unit"))
+    parts = single.where(F.length("line") > size).withColumn("parts", cut("search_text"))
+    of = F.concat(F.lit(" (part "), F.col("k").cast("string"), F.lit("/"), F.size("parts").cast("string"), F.lit("): "))
+    long = parts.select("*", F.posexplode("parts").alias("k0", "text")).withColumn("k", F.col("k0") + 1)
+    long = long.select("doc_id", "sheet", "row", "col", F.col("k").alias("part"), F.concat(head, F.col("at"), of, F.col("text")).alias("unit"))
+    units = short.unionByName(fits).unionByName(long).groupBy("doc_id", "sheet").agg(F.array_sort(F.collect_list(F.struct("row", "col", "part", "unit"))).alias("u"))
+    batches = pack(F.transform("u", lambda x: x["unit"]), F.concat(F.lit("# Sheet: "), F.col("sheet")))
+    return units.select("doc_id", "sheet", F.posexplode(batches).alias("batch_no", "text"))
 
 
 def in_some_cell(found: DataFrame, cells: DataFrame) -> DataFrame:
     """The model's entities (doc_id, text, …) that stand in a cell of their table, by words' ends."""
-    from maskweave.operators.spans import boundary_pattern
-
-    texts = cells.where("search_text <> ''").select(F.col("doc_id").alias("_d"), "search_text").distinct()
-    at = F.col("search_text").contains(found["text"]) & F.rlike("search_text", boundary_pattern(found["text"]))
-    return found.join(texts, (found["doc_id"] == F.col("_d")) & at, "left_semi")
+    forms = found.select("doc_id", F.col("text").alias("form"), F.lit(0).alias("payload")).distinct()
+    texts = cells.where("search_text <> ''").select("doc_id", "search_text").distinct()
+    may = holders(texts, forms, ["search_text"], "doc_id", "search_text")
+    sure = may.where(F.rlike("search_text", boundary_pattern(F.col("form")))).select("_d", F.col("form").alias("_f"))
+    return found.join(sure, (found["doc_id"] == F.col("_d")) & (found["text"] == F.col("_f")), "left_semi")
 
 
 def roster_cells(rows: DataFrame, id_cols: list[str], value_cols: list[str]) -> DataFrame:
-    """Any table as cells: one row for each value, with ``doc_id`` from the first id column."""
+    """Any table as cells: one row for each value, with ``doc_id`` from the first id column.
+
+    Rows are numbered in the order of the other id columns, in ranges of keys,
+    so a table may hold a large share of all rows.
+    """
     entries = F.explode(F.array(*[F.struct(F.lit(i).alias("col"), F.col(c).cast("string").alias("v")) for i, c in enumerate(value_cols, 1)]))
-    out = rows.select(F.col(id_cols[0]).alias("doc_id"), F.lit("Sheet1").alias("sheet"), F.row_number().over(W.partitionBy(id_cols[0]).orderBy(*id_cols[1:])).alias("row"), *value_cols)
-    out = out.select("doc_id", "sheet", "row", entries.alias("e")).select("doc_id", "sheet", "row", "e.col", F.coalesce("e.v", F.lit("")).alias("search_text"))
+    numbered = ranked(rows.select(*id_cols, *value_cols), id_cols[:1], id_cols[1:], "row", "roster-rows")
+    out = numbered.select(F.col(id_cols[0]).alias("doc_id"), F.lit("Sheet1").alias("sheet"), "row", entries.alias("e")).select("doc_id", "sheet", "row", "e.col", F.coalesce("e.v", F.lit("")).alias("search_text"))
     return out.withColumn("kind", field_kind(F.col("search_text"))).withColumn("original", F.col("search_text")).withColumn("formula", F.when(F.col("kind") == "formula", F.col("search_text")))

@@ -104,7 +104,9 @@ PATTERNS: dict[str, str] = {
 # fmt: on
 
 # Suffixes of country-specific types, and types without a suffix that belong to one country.
-COUNTRIES = frozenset("US CA GB FR ES IT IN CN DE JP KR AU NZ BR MX AR ZA SG HK TW NL BE CH AT SE NO DK FI PL IE PT GR IL TR RU TH MY ID".split())
+COUNTRIES = frozenset(
+    ["US", "CA", "GB", "FR", "ES", "IT", "IN", "CN", "DE", "JP", "KR", "AU", "NZ", "BR", "MX", "AR", "ZA", "SG", "HK", "TW", "NL", "BE", "CH", "AT", "SE", "NO", "DK", "FI", "PL", "IE", "PT", "GR", "IL", "TR", "RU", "TH", "MY", "ID"]
+)
 COUNTRY_OF = {"SSN": "US"}
 
 # Which type wins when one text has several; a type that is not listed has 0.

@@ -215,9 +215,9 @@ def mapping_numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(O.with_hits(_M + "SELECT doc_id, ord, original, written, type, base_form FROM m"))
-def mapping_folded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ordered fold gives the same numbers where base forms come from patterns."""
-    return mapping.folded(_entities(spark, sf_dir)).drop("seen")
+def mapping_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbering in ranges of keys, as tables get it, gives the same."""
+    return mapping.numbered(_entities(spark, sf_dir), hot=True, free=True).drop("seen")
 
 
 @query(O.with_hits(_M + "SELECT doc_id, written, arg_max(original, ord) AS original FROM m GROUP BY doc_id, written"))

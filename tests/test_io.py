@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from maskweave import config, crypto, model
 from maskweave.operators import rejects
 from maskweave.plans import pipeline
-from maskweave.sources import files, sinks
+from maskweave.sources import files, sinks, xlsx
 from maskweave.streaming import live
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # for the stub client
@@ -35,16 +35,58 @@ def test_csv_round_trip(spark, tmp_path):
         sinks.guarded_rewrite(cells, masked.entities.limit(0), masked.mapping)
 
 
-def test_dialects_and_encodings():
-    assert files.csv_sheet("a;b\nc;d\n".encode())["delimiter"] == ";"
-    assert files.decode("é".encode("cp1252"))[1:] == ("cp1252", False) and files.decode(b"\x81")[1] == "latin-1"
-    assert files.csv_sheet(b"")["max_row"] == 0
-    assert [files.cell_value(v) for v in (None, True, 3, 3.0, 2.5, "x")] == [("", "empty"), ("", "bool"), ("3", "number"), ("3", "number"), ("2.5", "number"), ("x", "text")]
+def raw_files(spark, *contents):
+    return spark.createDataFrame([(f"f{i}", bytearray(c)) for i, c in enumerate(contents)], "path string, content binary")
+
+
+def test_dialects_and_encodings(spark):
+    contents = [b"a;b\nc;d\n", "n,\u00e9\r\n".encode("cp1252"), b"n,\x81\r", "\ufeffa|b\nc|d".encode(), "\u20ac,x\n".encode("cp1252"), b"", b"  "]
+    cells, sheets = files.csv_tables(raw_files(spark, *contents))
+    got = {r.doc_id: (r.delimiter, r.encoding, r.had_bom, r.line_end, r.max_row) for r in sheets.collect()}
+    assert [got[f"f{i}"] for i in range(7)] == [
+        (";", "utf-8", False, "\n", 2), (",", "cp1252", False, "\r\n", 1), (",", "latin-1", False, "\r", 1), ("|", "utf-8-sig", True, "\n", 2), (",", "cp1252", False, "\n", 1), (",", "utf-8", False, "\n", 0), (",", "utf-8", False, "\n", 1),
+    ]
+    texts = {(r.doc_id, r.col): r.search_text for r in cells.where("row = 1").collect()}
+    assert texts["f1", 2] == "\u00e9" and texts["f2", 2] == "\x81" and texts["f3", 1] == "a" and texts["f4", 1] == "\u20ac"
     for bad in ("a.xls", "b.XLSM", "c.ods", "d.xlsb"):
         with pytest.raises(ValueError):
             files.check_path(bad)
 
 
+def test_size_limits(spark, tmp_path, monkeypatch):
+    (tmp_path / "a.csv").write_bytes(CSV.encode())
+    monkeypatch.setattr(files, "MAX_TABLE_CELLS", 3)
+    with pytest.raises(ValueError):
+        files.read_tables(spark, str(tmp_path / "a.csv"))
+    monkeypatch.setattr(files, "MAX_TABLE_BYTES", 10)
+    with pytest.raises(ValueError):
+        files.read_tables(spark, str(tmp_path / "a.csv"))
+
+
+def test_shown_values():
+    from datetime import date, datetime, time
+
+    values = [None, "", True, 3, 3.0, 2.5, 1e16, 1234567.25, "x", date(2020, 1, 2), datetime(2020, 1, 2), datetime(2020, 1, 2, 3, 4, 5, 6), time(3, 4)]
+    assert [xlsx.shown(v) for v in values] == [
+        ("", "empty"), ("", "empty"), ("", "bool"), ("3", "number"), ("3", "number"), ("2.5", "number"), ("1e+16", "number"), ("1.23457e+06", "number"), ("x", "text"),
+        ("2020-01-02", "date"), ("2020-01-02", "date"), ("2020-01-02 03:04:05", "date"), ("03:04:00", "date"),
+    ]
+
+
+def test_workbooks(spark, tmp_path):
+    book = xlsx.workbook({"A&B": [["Name", "=SUM(A1)", 3, 2.5, True, None], [None, "jane@acme.org"]], "T": [["jane@acme.org", "bo@acme.org"]]})
+    (tmp_path / "b.xlsx").write_bytes(book)
+    cells, sheets = files.read_tables(spark, str(tmp_path / "b.xlsx"))
+    assert {(r.sheet, r.max_row, r.max_column, r.uncached, r.hidden) for r in sheets.collect()} == {("A&B", 2, 5, 1, False), ("T", 1, 2, 0, False)}
+    m = pipeline.anonymize_tables(cells)
+    source = spark.read.format("binaryFile").load(str(tmp_path / "b.xlsx")).select("path", "content")
+    out = bytes(sinks.xlsx_files(m.docs, source).first().content)
+    (tmp_path / "c.xlsx").write_bytes(out)
+    got = {(r.sheet, r.row, r.col): (r.search_text, r.kind) for r in files.read_tables(spark, str(tmp_path / "c.xlsx"))[0].collect()}
+    assert got == {("A&B", 1, 1): ("Name", "text"), ("A&B", 1, 3): ("3", "number"), ("A&B", 1, 4): ("2.5", "number"), ("A&B", 1, 5): ("", "bool"), ("A&B", 2, 2): ("EMAIL_1", "text"), ("T", 1, 1): ("EMAIL_1", "text"), ("T", 1, 2): ("EMAIL_2", "text")}
+    assert xlsx.moment(43831.0, False).isoformat() == "2020-01-01T00:00:00" and xlsx.moment(0.5, False).isoformat() == "12:00:00" and xlsx.column_number("AA") == 27
+
+
 def test_documents_and_phrases(spark, tmp_path):
     (tmp_path / "a.txt").write_text("héllo")
     (tmp_path / "b.md").write_bytes("# caf\xe9".encode("latin-1"))
@@ -101,8 +143,8 @@ def test_asking(spark):
     assert model.ask(Stub(2), "Text:\nJane", 3, 1.0, 1.5, waits.append)[0]["type"] == "PERSON"
     assert len(waits) == 2 and 1.0 <= waits[0] <= 1.1 and 1.5 <= waits[1] <= 1.65
     denied = Stub(5, "401 unauthorized")
-    assert model.ask(denied, "x", 3, sleep=waits.append) == [] and denied.calls == 1
-    assert model.ask(Stub(5), "x", 2, sleep=lambda s: None) == []
+    assert model.ask(denied, "x", 3, sleep=waits.append) is None and denied.calls == 1
+    assert model.ask(Stub(5), "x", 2, sleep=lambda s: None) is None
     for bad in ("no json", "[]", '{"entities": [{"text": 1, "type": "x"}]}'):
         with pytest.raises(ValueError):
             model.parse_answer(bad)
@@ -115,7 +157,13 @@ def test_model_hits_and_cache(spark):
     assert hits.where("doc_id = 1").count() == 2 and new.count() == 2
     known = spark.createDataFrame(new.collect(), new.schema)
     assert model.model_hits(c, Stub(), cache=known)[1].count() == 0
+    # a failed prompt gives no cache row
+    assert model.model_hits(c, Stub(9), retries=1)[1].count() == 0
+    flaky = model.PatternClient("(Jane)(?: Doe)?", failing=9)
+    assert model.model_hits(c, flaky, retries=2, base_delay=0)[0].where("doc_id = 1").count() == 2
     d = spark.createDataFrame([(1, "Jane Doe met Doe, jane@x.org")], "doc_id long, text string")
+    with pytest.raises(ValueError):
+        pipeline.anonymize(d, config.profile("best-speed"))
     m = pipeline.anonymize(d, config.profile("best-speed"), client=Stub())
     assert m.docs.first().text == "PERSON_1 met PERSON_1.v_1, EMAIL_1"
 
@@ -200,19 +248,56 @@ def test_rejected_rows_by_the_csv_module(spark):
     assert {x.record_id for x in rejects.rejected(r, s).collect()} == want and want
 
 
+def clients_convert(content):
+    return content.decode()
+
+
 def test_command_line(spark, tmp_path):
     from maskweave import cli
 
     (tmp_path / "note.txt").write_text("Mail jane@acme.org on 2019-06-20.")
+    (tmp_path / "more.txt").write_text("bo@acme.org, not jane@acme.org")
     out = str(tmp_path / "out")
-    assert cli.main(["run", str(tmp_path / "note.txt"), "--out", out, "--operator", "DATE=generalize"]) == 0
+    assert cli.main(["run", str(tmp_path / "note.txt"), str(tmp_path / "more.txt"), "--out", out, "--operator", "DATE=generalize"]) == 0
     assert open(f"{out}/anonymized/note.anonymized.txt").read() == "Mail EMAIL_1 on 2019."
-    assert cli.main(["deanonymize", f"{out}/anonymized/note.anonymized.txt", "--mapping", f"{out}/mappings/note.mapping.json", "--out", out]) == 0
+    assert open(f"{out}/anonymized/more.anonymized.txt").read() == "EMAIL_2, not EMAIL_1"  # numbers go on from file to file
+    paths = [f"{out}/anonymized/{x}.anonymized.txt" for x in ("note", "more")]
+    assert cli.main(["deanonymize", *paths, "--mapping", f"{out}/mappings/more.mapping.json", "--out", out]) == 0
     assert open(f"{out}/deanonymized/note.deanonymized.txt").read() == "Mail jane@acme.org on 2019-06-20."
-    assert cli.main(["verify", f"{out}/anonymized/note.anonymized.txt", "--out", out]) == 0 and cli.main(["report", f"{out}/anonymized/note.anonymized.txt", "--out", out]) == 0
+    assert open(f"{out}/deanonymized/more.deanonymized.txt").read() == "bo@acme.org, not jane@acme.org"
+    assert cli.main(["verify", paths[0], "--out", out]) == 0 and cli.main(["report", paths[0], "--out", out]) == 0
     assert json.load(open(f"{out}/stats/note.risk.json"))["overall"] == "low"
+    assert cli.main(["run", str(tmp_path / "x.xls"), "--out", out]) == 1 and cli.main(["run", str(tmp_path / "note.txt"), "--operator", "A=b"]) == 1
+
+
+def test_command_line_tables(spark, tmp_path):
+    from maskweave import cli
+
+    out = str(tmp_path / "out")
     (tmp_path / "t.csv").write_bytes(CSV.encode())
     assert cli.main(["run", str(tmp_path / "t.csv"), "--out", out, "--passphrase", "p"]) == 0
     assert cli.main(["deanonymize", f"{out}/anonymized/t.anonymized.csv", "--mapping", f"{out}/mappings/t.mapping.json.enc", "--out", out, "--passphrase", "p"]) == 0
     assert open(f"{out}/deanonymized/t.deanonymized.csv", newline="").read() == CSV
-    assert cli.main(["run", str(tmp_path / "x.xls"), "--out", out]) == 1 and cli.main(["run", str(tmp_path / "note.txt"), "--operator", "A=b"]) == 1
+    (tmp_path / "b.xlsx").write_bytes(xlsx.workbook({"S": [["Mail"], ["jane@acme.org"], [7]]}))
+    assert cli.main(["run", str(tmp_path / "b.xlsx"), "--out", out]) == 0
+    assert cli.main(["deanonymize", f"{out}/anonymized/b.anonymized.xlsx", "--mapping", f"{out}/mappings/b.mapping.json", "--out", out]) == 0
+    back = xlsx.sheets(open(f"{out}/deanonymized/b.deanonymized.xlsx", "rb").read())[0]
+    assert [c[2] for c in back.cells] == ["Mail", "jane@acme.org", "7"]
+
+
+def test_command_line_models_and_pdf(spark, tmp_path):
+    from maskweave import cli
+
+    out = str(tmp_path / "out")
+    (tmp_path / "a.txt").write_text("Jane Doe met Jane.")
+    assert cli.main(["run", str(tmp_path / "a.txt"), "--out", out, "--profile", "best-quality"]) == 1  # no client
+    module = __name__
+    assert cli.main(["run", str(tmp_path / "a.txt"), "--out", out, "--profile", "best-quality", "--client", f"{module}:Stub", "--answers", f"{out}/answers"]) == 0
+    assert open(f"{out}/anonymized/a.anonymized.txt").read() == "PERSON_1 met PERSON_1.v_1."
+    assert files.read_answers(spark, f"{out}/answers").count() == 1
+    assert cli.main(["verify", str(tmp_path / "a.txt"), "--out", out, "--client", f"{module}:Stub"]) == 0
+    assert json.load(open(f"{out}/stats/a.residual_pii.json"))["residual_count"] == 2
+    (tmp_path / "p.pdf").write_bytes(b"by jane@acme.org")
+    assert cli.main(["run", str(tmp_path / "p.pdf"), "--out", out]) == 1  # no converter
+    assert cli.main(["run", str(tmp_path / "p.pdf"), "--out", out, "--pdf-converter", f"{module}:clients_convert"]) == 0
+    assert open(f"{out}/anonymized/p.anonymized.md").read() == "by EMAIL_1"
