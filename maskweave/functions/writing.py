@@ -94,39 +94,36 @@ def shift(c: Column, base: Column, salt: str = SHIFT_SALT) -> Column:
     return F.when(date.isNotNull(), moved).otherwise(c)
 
 
-def _seed(kind: Column, base: Column, secret: str) -> Column:
-    material = F.concat(F.lit(f"{secret or FAKE_SECRET}:"), kind, F.lit(":"), base)
-    return F.conv(F.substr(F.sha2(material, 256), F.lit(1), F.lit(16)), 16, 10).cast("decimal(20,0)")
-
-
 def fake(c: Column, type_: Column, base: Column, secret: str = "") -> Column:
-    """A stable stand-in of the same shape; the same base form always gets the same one."""
+    """A stable stand-in of the same shape; the same base form always gets the same one.
+
+    The SHA-256 of secret, type and base form is cut into blocks of eight hex
+    digits; each part of a fake is picked by a block of its own.
+    """
     kind = kind_of(type_)
-    seed = _seed(kind, base, secret)
-    pick = lambda words, step: F.array(*[F.lit(w) for w in words])[((seed / step).cast("decimal(20,0)") % len(words)).cast("int")]
-    rest = lambda n: (seed % n).cast("decimal(20,0)")
-    padded = lambda n, width: F.lpad(rest(n).cast("string"), width, "0")
-    body = F.substr(F.lpad(seed.cast("string"), 16, "0"), F.lit(1), F.lit(12))
-    part = lambda i: F.substr(body, F.lit(i), F.lit(4))
+    sha = F.sha2(F.concat(F.lit(f"{secret or FAKE_SECRET}:"), kind, F.lit(":"), base), 256)
+    number = lambda i, n: F.conv(F.substr(sha, F.lit(8 * i + 1), F.lit(8)), 16, 10).cast("long") % n
+    pick = lambda words, i: F.array(*[F.lit(w) for w in words])[number(i, len(words)).cast("int")]
+    padded = lambda i, width: F.lpad(number(i, 10**width).cast("string"), width, "0")
     date = parse_date(c)
-    year = F.coalesce(F.year(date), (rest(41) + 1980).cast("int"))
+    year = F.coalesce(F.year(date), (number(0, 41) + 1980).cast("int"))
     return (
-        F.when(kind == "PERSON", F.concat_ws(" ", pick(_FIRST, 1), pick(_LAST, 97)))
-        .when(kind == "EMAIL", F.concat(F.lower(pick(_FIRST, 1)), F.lit("."), F.lower(pick(_LAST, 97)), F.lit("@example.org")))
-        .when(kind.isin("PHONE", "FAX"), F.concat(F.lit("555-010"), rest(10).cast("string")))
-        .when(kind == "LOCATION", pick(_CITY, 1))
-        .when(kind == "ADDRESS", F.concat(padded(997, 1), F.lit(" "), pick(_STREET, 13), F.lit(" Street")))
-        .when(kind == "ORGANIZATION", F.concat(pick(_LAST, 1), F.lit(" Ltd")))
-        .when(kind == "JOB_TITLE", F.concat(F.lit("Officer "), F.initcap(pick(_WORDS, 1))))
-        .when(kind.startswith("DATE"), F.date_format(F.date_add(F.make_date(year, F.lit(1), F.lit(1)), rest(362).cast("int")), "yyyy-MM-dd"))
-        .when(kind == "AGE", (rest(60) + 21).cast("int").cast("string"))
-        .when(kind.startswith("CREDIT_CARD"), F.concat(F.lit("4111 "), part(1), F.lit(" "), part(5), F.lit(" "), part(9)))
-        .when(kind.startswith("SSN") | (kind == "SIN_CA"), F.concat(F.lit("000-00-"), padded(10_000, 4)))
-        .when(kind.endswith("IBAN"), F.concat(F.lit("GB00FAKE"), padded(10**10, 10)))
-        .when(kind.isin("IPV4_ADDRESS", "IP_ADDRESS"), F.concat(F.lit("203.0.113."), (rest(254) + 1).cast("int").cast("string")))
-        .when(kind == "URL", F.concat(F.lit("https://example.test/"), pick(_WORDS, 1), F.lit("-"), pick(_WORDS, 17)))
-        .when(kind == "VIN", F.concat(F.lit("1HGCM8263"), rest(10).cast("string"), F.lit("A"), F.lpad(((seed / 10).cast("decimal(20,0)") % 899_999 + 100_000).cast("int").cast("string"), 6, "0")))
-        .otherwise(F.initcap(pick(_WORDS, 1)))
+        F.when(kind == "PERSON", F.concat_ws(" ", pick(_FIRST, 0), pick(_LAST, 1)))
+        .when(kind == "EMAIL", F.concat(F.lower(pick(_FIRST, 0)), F.lit("."), F.lower(pick(_LAST, 1)), F.lit("@example.org")))
+        .when(kind.isin("PHONE", "FAX"), F.concat(F.lit("555-010"), padded(0, 1)))
+        .when(kind == "LOCATION", pick(_CITY, 0))
+        .when(kind == "ADDRESS", F.concat((number(0, 997) + 1).cast("string"), F.lit(" "), pick(_STREET, 1), F.lit(" Street")))
+        .when(kind == "ORGANIZATION", F.concat(pick(_LAST, 0), F.lit(" Ltd")))
+        .when(kind == "JOB_TITLE", F.concat(F.lit("Officer "), F.initcap(pick(_WORDS, 0))))
+        .when(kind.startswith("DATE"), F.date_format(F.date_add(F.make_date(year, F.lit(1), F.lit(1)), number(1, 362).cast("int")), "yyyy-MM-dd"))
+        .when(kind == "AGE", (number(0, 60) + 21).cast("string"))
+        .when(kind.startswith("CREDIT_CARD"), F.concat_ws(" ", F.lit("4111"), padded(0, 4), padded(1, 4), padded(2, 4)))
+        .when(kind.startswith("SSN") | (kind == "SIN_CA"), F.concat(F.lit("000-00-"), padded(0, 4)))
+        .when(kind.endswith("IBAN"), F.concat(F.lit("GB00FAKE"), padded(0, 5), padded(1, 5)))
+        .when(kind.isin("IPV4_ADDRESS", "IP_ADDRESS"), F.concat(F.lit("203.0.113."), (number(0, 254) + 1).cast("string")))
+        .when(kind == "URL", F.concat(F.lit("https://example.test/"), pick(_WORDS, 0), F.lit("-"), pick(_WORDS, 1)))
+        .when(kind == "VIN", F.concat(F.lit("1HGCM8263"), padded(0, 1), F.lit("A"), padded(1, 6)))
+        .otherwise(F.initcap(pick(_WORDS, 0)))
     )
 
 
@@ -151,13 +148,20 @@ def operator_of(type_: str, operators: dict[str, str]) -> str:
     return operators.get(upper) or operators.get(base) or (operators.get("DATE") if base.startswith("DATE") else None) or "replace"
 
 
+def chosen_operator(type_: Column, operators: dict[str, str]) -> Column:
+    """The same for a column of types; ``operators`` holds one entry a type."""
+    if not operators:
+        return F.when(type_.isNotNull(), "replace")
+    table = F.create_map(*[F.lit(x) for pair in operators.items() for x in pair])
+    kind = kind_of(type_)
+    return F.coalesce(F.try_element_at(table, F.upper(type_)), F.try_element_at(table, kind), F.when(kind.startswith("DATE"), F.try_element_at(table, F.lit("DATE"))), F.when(type_.isNotNull(), "replace"))
+
+
 def by_type(c: Column, type_: Column, label: Column, base: Column, operators: dict[str, str], secret: str = "") -> Column:
     """What each value's operator writes; only the operators in use are built."""
-    upper, kind = F.upper(type_), kind_of(type_)
-    table = F.create_map(*[F.lit(x) for pair in operators.items() for x in pair]) if operators else None
-    if table is None:
+    if not operators:
         return label
-    chosen = F.coalesce(F.try_element_at(table, upper), F.try_element_at(table, kind), F.when(kind.startswith("DATE"), F.try_element_at(table, F.lit("DATE"))), F.lit("replace"))
+    chosen = chosen_operator(type_, operators)
     write = {"mask": lambda: mask(c, type_), "hash": lambda: hashed(c), "generalize": lambda: generalize(c, type_), "shift": lambda: shift(c, base), "fake": lambda: fake(c, type_, base, secret)}
     out = F.when(chosen == "replace", label)
     for name in sorted(set(operators.values()) - {"replace"}):

@@ -15,7 +15,7 @@ from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maskweave.session import staged
@@ -108,6 +108,11 @@ def prompt_key(model: str, prompt: str) -> str:
     return f"{model}:{hashlib.md5(prompt.encode()).hexdigest()}"
 
 
+def prompt_key_column(model: str, template: str, text: Column) -> Column:
+    """The same for a column of texts."""
+    return F.concat(F.lit(f"{model}:"), F.md5(F.replace(F.lit(template), F.lit("{text}"), text)))
+
+
 def model_hits(chunks: DataFrame, client: Client, template: str = PROMPTS["simple"], doc: str = "doc_id", retries: int = 3, base_delay: float = 1.0, max_delay: float = 10.0, cache: DataFrame | None = None, model: str = "model") -> tuple[DataFrame, DataFrame]:
     """(hits, new cache rows) of chunks (doc, chunk_idx, text).
 
@@ -117,8 +122,7 @@ def model_hits(chunks: DataFrame, client: Client, template: str = PROMPTS["simpl
     since asking twice may answer twice.  The client is sent to the workers, so
     it must pickle.
     """
-    key = F.concat(F.lit(f"{model}:"), F.md5(F.replace(F.lit(template), F.lit("{text}"), F.col("text"))))
-    keyed = chunks.withColumn("key", key)
+    keyed = chunks.withColumn("key", prompt_key_column(model, template, F.col("text")))
     schema = "key string, entities array<struct<text:string,type:string,base_form:string>>"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

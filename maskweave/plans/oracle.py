@@ -147,20 +147,31 @@ def places(library: dict[str, str] | None = None) -> str:
 
 _PRIORITY = values([(k, v) for k, v in P.PRIORITY.items()], "pr(ptype, prio)")
 
-ENTITIES = f"""
+
+
+def entities(place: tuple[str, ...] = ("pattern_idx", "match_idx"), seeds: str = "") -> str:
+    """CTEs h, d, e0, longer, e of h0 (doc_id, text, type and the columns of the place in reading order).
+
+    seeds: a CTE (original) whose values are base forms for every document.
+    """
+    order, first = ", ".join(place), ", ".join(f"first_{c}" for c in place)
+    firsts = ", ".join(f"first_value({c}) OVER w AS first_{c}" for c in place)
+    seeded = f" UNION SELECT doc_id, original FROM (SELECT DISTINCT doc_id FROM e0), {seeds}" if seeds else ""
+    return f"""
 h AS (SELECT h.*, coalesce(prio, 0) - CASE WHEN type LIKE '%\\_LIKE' ESCAPE '\\' THEN 1 ELSE 0 END AS p
       FROM (SELECT * FROM h0) h LEFT JOIN {_PRIORITY} ON ptype = CASE WHEN type LIKE '%\\_LIKE' ESCAPE '\\' THEN left(type, length(type) - 5) ELSE type END),
-d AS (SELECT doc_id, text, first_p, first_m, type FROM (
-      SELECT doc_id, text, type,
-             first_value(pattern_idx) OVER w AS first_p, first_value(match_idx) OVER w AS first_m,
-             row_number() OVER (PARTITION BY doc_id, text ORDER BY p DESC, pattern_idx, match_idx) AS r
-      FROM h WINDOW w AS (PARTITION BY doc_id, text ORDER BY pattern_idx, match_idx)) WHERE r = 1),
-e0 AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY first_p, first_m) AS INT) AS ord, text, type FROM d),
-longer AS (SELECT a.doc_id, a.text, b.text AS base FROM e0 a JOIN e0 b ON a.doc_id = b.doc_id AND a.text <> b.text AND contains(b.text, a.text)
+d AS (SELECT doc_id, text, {first}, type FROM (
+      SELECT doc_id, text, type, {firsts}, row_number() OVER (PARTITION BY doc_id, text ORDER BY p DESC, {order}) AS r
+      FROM h WINDOW w AS (PARTITION BY doc_id, text ORDER BY {order})) WHERE r = 1),
+e0 AS MATERIALIZED (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY {first}) AS INT) AS ord, text, type FROM d),
+longer AS (SELECT a.doc_id, a.text, b.text AS base FROM e0 a JOIN (SELECT doc_id, text FROM e0{seeded}) b ON a.doc_id = b.doc_id AND a.text <> b.text AND contains(b.text, a.text)
            QUALIFY row_number() OVER (PARTITION BY a.doc_id, a.text ORDER BY length(b.text) DESC, b.text) = 1),
 e AS (SELECT e0.*, coalesce(base, e0.text) AS base_form FROM e0 LEFT JOIN longer USING (doc_id, text))
 """
 
+
+ENTITIES = entities()
+
 MAPPING = """
 g AS (SELECT *, min(ord) OVER (PARTITION BY doc_id, base_form) AS group_ord, first_value(type) OVER (PARTITION BY doc_id, base_form ORDER BY ord) AS group_type FROM e),
 n AS (SELECT *, dense_rank() OVER (PARTITION BY doc_id, group_type ORDER BY group_ord) AS n,
@@ -170,12 +181,63 @@ m AS (SELECT doc_id, CASE WHEN text = base_form THEN group_ord ELSE ord END AS o
 
 
 CORPUS = """
-f AS (SELECT base_form, doc_id AS fd, ord AS fo, type AS gtype FROM e QUALIFY row_number() OVER (PARTITION BY base_form ORDER BY doc_id, ord) = 1),
+t AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id, ord) = 1),
+f AS (SELECT base_form, doc_id AS fd, ord AS fo, type AS gtype FROM t QUALIFY row_number() OVER (PARTITION BY base_form ORDER BY doc_id, ord) = 1),
 l AS (SELECT base_form, gtype || '_' || row_number() OVER (PARTITION BY gtype ORDER BY fd, fo) AS main FROM f),
-t AS (SELECT base_form, text, min(struct_pack(d := doc_id, o := ord)) AS first_at, min(type) AS type FROM e GROUP BY base_form, text),
-c AS (SELECT text AS original, main || CASE WHEN text <> base_form THEN '.v_' || sum(CASE WHEN text <> base_form THEN 1 ELSE 0 END) OVER (PARTITION BY base_form ORDER BY first_at) ELSE '' END AS written, type, base_form FROM t JOIN l USING (base_form))
+c AS (SELECT text AS original, main || CASE WHEN text <> base_form THEN '.v_' || sum(CASE WHEN text <> base_form THEN 1 ELSE 0 END) OVER (PARTITION BY base_form ORDER BY doc_id, ord) ELSE '' END AS written, type, base_form FROM t JOIN l USING (base_form))
 """
 
 
 def with_hits(tail: str, source: str = "documents", **kw: object) -> str:
     return f"WITH h0 AS ({hits(source, **kw)}), {tail}"
+
+
+#: A word character of Python's rules.
+WORDY = "'[\\pL\\pN_]'"
+
+
+def chosen(parts: str, rounds: int = 5) -> str:
+    """CTEs up to ``chosen`` (key, doc_id, s, e, entity) of the CTE e0 and parts (key, doc_id, body).
+
+    Every place of an entity between words' ends; then, round by round, the
+    places that no longer (or equal and further left) one overlaps are taken,
+    and what they overlap is left out.
+    """
+    wordy = lambda c: f"regexp_full_match({c}, {WORDY})"
+    out = f"""
+cut AS (SELECT p.key, p.doc_id, p.body, x.text AS entity, string_split(p.body, x.text) AS g FROM ({parts}) p JOIN e0 x ON p.doc_id = x.doc_id AND x.text <> '' AND contains(p.body, x.text)),
+occ AS (SELECT key, doc_id, body, entity, length(entity) AS n, CAST(list_sum(list_transform(g[1:k], lambda y: length(y))) + (k - 1) * length(entity) AS INT) AS s FROM (SELECT *, unnest(range(1, len(g))) AS k FROM cut)),
+rem0 AS MATERIALIZED (SELECT key, doc_id, entity, n, s, s + n AS e FROM occ
+  WHERE NOT ({wordy('entity[1]')} AND s > 0 AND {wordy('substr(body, s, 1)')}) AND NOT ({wordy('entity[-1]')} AND {wordy('substr(body, s + n + 1, 1)')}))"""
+    over = "b.key = a.key AND b.s < a.e AND a.s < b.e"
+    for i in range(1, rounds + 1):
+        out += f""",
+pick{i} AS MATERIALIZED (SELECT * FROM rem{i - 1} a WHERE NOT EXISTS (SELECT 1 FROM rem{i - 1} b WHERE {over} AND (b.n > a.n OR b.n = a.n AND b.s < a.s))),
+rem{i} AS MATERIALIZED (SELECT * FROM rem{i - 1} a WHERE NOT EXISTS (SELECT 1 FROM pick{i} b WHERE {over}))"""
+    return out + ",\nchosen AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT key, doc_id, s, e, entity FROM pick{i}" for i in range(1, rounds + 1)) + ")"
+
+
+def masked(parts: str, mapping: str = "m", on: str = "c.doc_id = m.doc_id AND") -> str:
+    """CTEs up to ``masked`` (key, doc_id, text): the chosen places written as the mapping says."""
+    return (
+        chosen(parts)
+        + f""",
+written AS (SELECT c.key, c.s, c.e, m.written FROM chosen c JOIN {mapping} m ON {on} m.original = c.entity),
+gaps AS (SELECT w.*, substr(p.body, lag(w.e, 1, 0) OVER (PARTITION BY w.key ORDER BY w.s) + 1, w.s - lag(w.e, 1, 0) OVER (PARTITION BY w.key ORDER BY w.s)) AS gap FROM written w JOIN ({parts}) p USING (key)),
+joined AS (SELECT key, string_agg(gap || written, '' ORDER BY s) AS front, max(e) AS last_e FROM gaps GROUP BY key),
+masked AS MATERIALIZED (SELECT p.key, p.doc_id, CASE WHEN front IS NULL THEN p.body ELSE front || substr(p.body, last_e + 1) END AS text FROM ({parts}) p LEFT JOIN joined USING (key))"""
+    )
+
+
+DOCUMENT_PARTS = "SELECT doc_id AS key, doc_id, text AS body FROM documents"
+LABELS = "'[A-Z_]+_[0-9]+(?:\\.v_[0-9]+)?'"
+
+
+def mask_kind(t: str) -> str:
+    return f"(CASE WHEN upper({t}) LIKE '%\\_LIKE' ESCAPE '\\' AND length({t}) > 5 THEN left(upper({t}), length({t}) - 5) ELSE upper({t}) END)"
+
+
+def block(sha: str, i: int) -> str:
+    """The i-th eight hex digits of a SHA-256 as a number."""
+    digit = lambda k: f"(strpos('0123456789abcdef', substr({sha}, {8 * i + k + 1}, 1)) - 1)::BIGINT"
+    return "(" + " + ".join(f"{digit(k)} * {16 ** (7 - k)}" for k in range(8)) + ")"
