@@ -38,7 +38,9 @@ def _with_fields(raw: DataFrame, text: str, delimiter: str) -> DataFrame:
     length = F.aggregate("_parts", F.lit(0), lambda n, x: n + F.length(x))
     plain = F.transform("_parts", lambda x: F.substr(x, F.col("_d") + 1))
     unquoted = F.transform(plain, lambda x: F.when(x.startswith('"'), F.replace(F.substr(x, F.lit(2), F.greatest(F.length(x) - 2, F.lit(0))), F.lit('""'), F.lit('"'))).otherwise(x))
-    return cut.withColumn("_covered", length == F.length("_whole")).withColumn("_fields", unquoted).drop("_whole", "_parts", "_d")
+    # a generator of one row: filters on what it makes are not pushed below it, so a record is cut once
+    one = F.inline(F.array(F.struct((length == F.length("_whole")).alias("_covered"), unquoted.alias("_fields"))))
+    return cut.select(*[c for c in raw.columns if c not in ("_covered", "_fields")], one)
 
 
 def _value(k: int) -> Column:
@@ -70,13 +72,6 @@ def _header() -> Column:
     return F.col("_covered") & (F.transform("_fields", lambda x: F.lower(F.trim(x))) == F.array(*[F.lit(h) for h in HEADER]))
 
 
-def _expressions_ok() -> Column:
-    out = F.lit(True)
-    for k in (7, 8):
-        out = out & ((_value(k) == "") | expression_ok_udf(_value(k)))
-    return out
-
-
 def _located(raw: DataFrame, sheets: DataFrame, text: str) -> DataFrame:
     """Raw records with their sheet's delimiter and an offset that tells repeated identifiers apart.
 
@@ -97,14 +92,20 @@ def load_valid(raw: DataFrame, sheets: DataFrame, text: str = "raw") -> DataFram
 
 
 def _conforming(located: DataFrame, text: str) -> DataFrame:
+    """The records that can be loaded, with their fields and ``_no_row``; each is cut once.
+
+    The JVM's checks come first; Python is given the expressions of records
+    that pass them, and nulls for all others.
+    """
     cut = _with_fields(located, text, "_delimiter").withColumn("_no_row", _blank() | _header())
     sound = F.lit(True)
     for _, wrong in _problems():
         sound = sound & ~wrong
-    # the JVM checks come first, as a filter of their own; Python sees expressions of sound records only
-    bare = cut.where(F.col("_no_row") | sound & (_value(7) == "") & (_value(8) == ""))
-    held = cut.where(~F.col("_no_row") & sound & ((_value(7) != "") | (_value(8) != ""))).where(_expressions_ok())
-    return bare.unionByName(held)
+    cut = cut.withColumn("_sound", F.coalesce(sound, F.lit(False)))
+    asked = lambda k: F.when(~F.col("_no_row") & F.col("_sound") & (_value(k) != ""), _value(k))
+    checked = cut.withColumn("_e7", asked(7)).withColumn("_e8", asked(8)).withColumn("_ok7", expression_ok_udf("_e7")).withColumn("_ok8", expression_ok_udf("_e8"))
+    good = (F.col("_e7").isNull() | F.col("_ok7")) & (F.col("_e8").isNull() | F.col("_ok8"))
+    return checked.where(F.col("_no_row") | F.col("_sound") & good)
 
 
 def rejected(raw: DataFrame, sheets: DataFrame, text: str = "raw") -> DataFrame:
