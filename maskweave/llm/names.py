@@ -3,12 +3,13 @@
 1. ``parse``     cuts a value into words, initials and legal form; titles, possessive
                  endings, case, accents and look-alike letters are taken away.
 2. vectors       character 3-grams of the padded words, weighted by the inverse
-                 document frequency over all values of the corpus.
-3. join          within a document, values are joined on the rarest grams only: with
-                 grams in one global order, two vectors whose cosine reaches the
-                 threshold share a gram of both prefixes (so nothing is lost and no
-                 frequent gram is joined); the cosine is then worked out exactly.
-                 Copies meet as one value.  There is no cap on partners.
+                 frequency over all values of the corpus; grams are counted in a
+                 fixed number of buckets, so the counts have a proven size.
+3. join          the sparse product of the vectors of a document, gram by gram; every
+                 pair that reaches the threshold is kept, whatever the number of
+                 partners.  Copies meet as one value.  The values of a document
+                 meet in one row; those of a document with more than ROW_VALUES are
+                 joined instead, with the same result.
 4. veto          an exact check of the words: relatives share a surname, companies a
                  first word, and differ in the rest.  Nicknames are learned from the
                  corpus; two words that are both frequent are no misspellings of each
@@ -21,19 +22,21 @@
 from __future__ import annotations
 
 import functools
+import math
 import re
 import unicodedata
-from collections import defaultdict
-from collections.abc import Iterator
+import zlib
+from collections import Counter, defaultdict
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from maskweave.llm.skeleton import form
-from maskweave.session import staged
+from maskweave.session import staged, unstaged
 
 #: Least cosine of two values that are compared word by word.
 COSINE = 0.2
@@ -41,8 +44,12 @@ COSINE = 0.2
 LINKAGE = 0.08
 #: Similarities are summed up as whole numbers of this many parts, so that their order makes no difference.
 PARTS = 10**9
-#: Components with more values than this are never brought into one row; they are grouped by joins, with the same result.
-ROW_VALUES = 2_000
+#: Documents with more distinct values than this are never brought into one row; they go by joins, with the same result.
+ROW_VALUES = 1_000
+#: Buckets in which grams are counted: at most so many numbers are broadcast, whatever the corpus holds.
+GRAM_BUCKETS = 1 << 18
+#: Two values that have more words than this on either side which the other lacks differ in more than spelling.
+MOST_OTHER_WORDS = 8
 #: A word is taken for a misspelling of another one if it stands in fewer documents than REAL_WORD_DOCS,
 #: or in fewer than one for each REAL_WORD_SHARE of the other's.
 REAL_WORD_DOCS, REAL_WORD_SHARE = 4, 40
@@ -85,12 +92,13 @@ def parse(text: str | None) -> str | None:
 
     words are sorted, initials in order.  flag: P for what only persons have
     (title, possessive), O for what only organisations have (legal form, &, the),
-    A for an acronym.  Values with digits, @ or / are no names.
+    A for an acronym.  Numbers are words.  Null for addresses of mail (@) and
+    links, and for what has no word of letters.
     """
     if not text:
         return None
     t = form(text)
-    if re.search(r"[\d@/_]", t) or len(t) > 120:
+    if "@" in t or "://" in t:
         return None
     t = t.strip(" \t\n\r.,;:\"'`«»“”")
     flag = ""
@@ -106,7 +114,7 @@ def parse(text: str | None) -> str | None:
     if "&" in low or re.match(r"the\s", low):
         flag = "O"
     words, initials, legal = [], [], ""
-    raw = re.findall(r"[^\W\d_]+", low)
+    raw = re.findall(r"[^\W_]+", low)
     titled = False
     for i, w in enumerate(raw):
         if w in TITLES and i == 0 and len(raw) > 1 and len(w) > 1:
@@ -115,13 +123,13 @@ def parse(text: str | None) -> str | None:
             legal = LEGAL[w]
         elif w in PARTICLES:
             continue
-        elif len(w) == 1:
+        elif len(w) == 1 and not w.isdigit():
             initials.append(w)
         else:
             words.append(w)
     if nick and len(words) > 2 and not legal and fold(nick[1]) in words:
         words.remove(fold(nick[1]))  # Katharina (Käthe) S.
-    if not words or len(words) > 8:
+    if not words or not any(re.search(r"[^\W\d_]", w) for w in words):
         return None
     if legal:
         flag = "O"
@@ -169,7 +177,7 @@ def _distance(a: str, b: str, most: int) -> int:
 
 def _typo(a: str, b: str, docs: dict[str, int]) -> bool:
     n = min(len(a), len(b))
-    if n < 3:
+    if n < 3 or not (a.isalpha() and b.isalpha()):  # numbers differ in any digit
         return False
     if _UMLAUTS.sub(r"\1", a) == _UMLAUTS.sub(r"\1", b):
         return True
@@ -211,14 +219,12 @@ def compare(a: str, b: str, docs: dict[str, int]) -> tuple[str, str, str]:
         return no
     if (fa == "O" and ib) or (fb == "O" and ia):
         return no
-    x, y = wa.split(), wb.split()
-    same = 0
-    for w in list(x):
-        if w in y:
-            x.remove(w)
-            y.remove(w)
-            same += 1
+    cx, cy = Counter(wa.split()), Counter(wb.split())
+    same = (cx & cy).total()
+    x, y = list((cx - cy).elements()), list((cy - cx).elements())
     inexact = 0
+    if min(len(x), len(y)) > MOST_OTHER_WORDS:
+        return no
     for test in (lambda p, q: _typo(p, q, docs), _shortened):
         for w in list(x):
             v = next((v for v in y if test(w, v)), None)
@@ -296,12 +302,20 @@ def acronym_keys(signature: str) -> list[str]:
     return ["".join(sorted([*firsts, *end])) for end in ([], [legal[0]] if legal else [])[: 1 + bool(legal)]]
 
 
+_NAME_TYPE = re.compile("PERSON|ORG|COMPANY|INDIRECT|ALIAS", re.I)
+
+
+def _may_name(text: str | None, type_: str | None) -> bool:
+    """Whether a value may be a name: one with digits, / or _ only if its type says so, since numbers, dates and addresses have them too."""
+    return bool(text) and (not re.search(r"[\d/_]", text) or bool(type_ and _NAME_TYPE.search(type_)))
+
+
 def _parsed(df: DataFrame, ids: tuple[str, str], text: str, base: str, type_: str) -> DataFrame:
     entity, doc = ids
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            sig = [parse(x) for x in b["text"]]
+            sig = [parse(x) if _may_name(x, t) else None for x, t in zip(b["text"], b["type"], strict=True)]
             base_sig = [parse(y) if s and is_partial(s) else None for s, y in zip(sig, b["base"], strict=True)]
             nicks = [["~".join(p) for p in nicknames_of(x, y)] if s else [] for s, x, y in zip(sig, b["text"], b["base"], strict=True)]
             out = b.drop(columns=["base"]).assign(sig=sig, base_sig=base_sig, nicks=nicks)
@@ -314,33 +328,63 @@ def _parsed(df: DataFrame, ids: tuple[str, str], text: str, base: str, type_: st
     return chosen.mapInPandas(run, f"entity {kinds[entity]}, doc {kinds[doc]}, text string, type string, sig string, base_sig string, nicks array<string>")
 
 
-def _vectors(values: DataFrame) -> DataFrame:
-    """(doc, sig, gram, w, before): unit vectors; before: the norm of the gram and all more frequent ones of the value."""
+def _bucket(gram: str) -> int:
+    return zlib.crc32(gram.encode()) & (GRAM_BUCKETS - 1)
+
+
+def grams_column(signature: Column) -> Column:
+    """The same as ``grams``, and acronyms without any, as an expression."""
+    words = F.filter(F.split(F.element_at(F.split(signature, "[|]"), 1), " "), lambda w: w != "")
+    cut = F.transform(words, lambda w: F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.substr(F.concat(F.lit("^"), w, F.lit("$")), i, F.lit(3))))
+    return F.when(signature.endswith("|A"), F.array().cast("array<string>")).otherwise(F.array_distinct(F.flatten(cut)))
+
+
+def gram_counts(values: DataFrame) -> tuple[int, DataFrame]:
+    """(number of values, (bucket, df)): in how many values of the corpus the grams of each bucket stand; at most GRAM_BUCKETS rows."""
+    bucket = F.crc32(F.col("gram").cast("binary")).bitwiseAND(F.lit(GRAM_BUCKETS - 1)).alias("bucket")
+    counts = values.select(F.explode(grams_column(F.col("sig"))).alias("gram")).groupBy(bucket).agg(F.count("*").alias("df"))
+    return values.count(), staged(counts, "name-grams")
 
-    @F.pandas_udf("array<string>")
-    def features(s: pd.Series) -> pd.Series:
-        return s.map(grams)
-
-    exploded = values.select("doc", "sig", F.explode(features("sig")).alias("gram"))
-    df = exploded.groupBy("gram").agg(F.count("*").alias("df"))
-    n = values.count()
-    raw = exploded.join(df, "gram").withColumn("w", F.log1p(F.lit(float(n)) / F.col("df")))
-    mine = W.partitionBy("doc", "sig")  # the grams of one value
-    unit = raw.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(mine)))
-    onwards = mine.orderBy(F.desc("df"), "gram").rowsBetween(W.unboundedPreceding, 0)
-    return unit.withColumn("tail", F.sqrt(F.sum(F.col("w") * F.col("w")).over(onwards))).select("doc", "sig", "gram", "w", "tail")
-
-
-def similar(values: DataFrame, cosine: float = COSINE) -> DataFrame:
-    """(doc, a, b, cosine): pairs of signatures a < b of a document whose vectors reach the cosine."""
-    v = staged(_vectors(values), "name-vectors")
-    prefix = v.where(F.col("tail") >= cosine).select("doc", "sig", "gram")
-    pairs = prefix.withColumnRenamed("sig", "a").join(prefix.withColumnRenamed("sig", "b"), ["doc", "gram"]).where("a < b").select("doc", "a", "b").distinct()
-    whole = v.groupBy("doc", "sig").agg(F.map_from_entries(F.collect_list(F.struct("gram", "w"))).alias("vector"))  # the grams of one value
-    sides = [whole.select("doc", F.col("sig").alias(x), F.col("vector").alias(f"v{x}")) for x in "ab"]
-    both = pairs.join(sides[0], ["doc", "a"]).join(sides[1], ["doc", "b"])
-    dot = F.aggregate(F.map_entries("va"), F.lit(0.0), lambda acc, e: acc + e["value"] * F.coalesce(F.col("vb")[e["key"]], F.lit(0.0)))
-    return both.select("doc", "a", "b", dot.alias("cosine")).where(F.col("cosine") >= cosine)
+
+def similar(values: DataFrame, n: int, counts: DataFrame, cosine: float = COSINE) -> DataFrame:
+    """(doc, a, b, cosine): pairs of signatures a < b of a document whose vectors reach the cosine, by joins.
+
+    The product is summed up gram by gram, so no vector has to be in one row.
+    """
+    bucket = F.crc32(F.col("gram").cast("binary")).bitwiseAND(F.lit(GRAM_BUCKETS - 1))
+    exploded = values.select("doc", "sig", F.explode(grams_column(F.col("sig"))).alias("gram")).withColumn("bucket", bucket)
+    raw = exploded.join(F.broadcast(counts), "bucket").withColumn("w", F.log1p(F.lit(float(n)) / F.col("df")))  # counts: at most GRAM_BUCKETS rows
+    norms = raw.groupBy("doc", "sig").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    v = staged(raw.join(norms, ["doc", "sig"]).select("doc", "sig", "gram", (F.col("w") / F.col("norm")).alias("w")), "name-vectors")
+    other = v.select("doc", "gram", F.col("sig").alias("b"), F.col("w").alias("wb"))
+    products = v.withColumnRenamed("sig", "a").join(other, ["doc", "gram"]).where("a < b").groupBy("doc", "a", "b").agg(F.sum(F.col("w") * F.col("wb")).alias("cosine"))
+    return products.where(F.col("cosine") >= cosine)
+
+
+def pairs_of(sigs: list[str], weight: Callable[[str], float], cosine: float = COSINE) -> list[tuple[str, str, float]]:
+    """The same pairs of one document's signatures, and those of its acronyms."""
+    index: dict[str, list[tuple[int, float]]] = defaultdict(list)
+    keys: dict[str, list[int]] = defaultdict(list)
+    sigs, out, short = sorted(set(sigs)), [], []
+    for i, s in enumerate(sigs):
+        weights = [(g, weight(g)) for g in grams(s)]
+        norm = math.sqrt(sum(w * w for _, w in weights))
+        near: dict[int, float] = defaultdict(float)
+        for g, w in weights:
+            w /= norm
+            for j, x in index[g]:
+                near[j] += w * x
+            index[g].append((i, w))
+        out += [(sigs[j], s, c) for j, c in near.items() if c >= cosine]
+        if s.endswith("|A"):
+            short.append(i)
+        else:
+            for k in acronym_keys(s):
+                keys[k].append(i)
+    for i in short:
+        for j in {j for k in acronym_keys(sigs[i]) for j in keys[k]}:
+            out.append((*sorted((sigs[i], sigs[j])), 0.5))
+    return out
 
 
 def acronym_pairs(values: DataFrame) -> DataFrame:
@@ -356,12 +400,17 @@ def acronym_pairs(values: DataFrame) -> DataFrame:
     return pairs.select("doc", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.lit(0.5).alias("cosine")).distinct()
 
 
-def _verdicts(pairs: DataFrame, values: DataFrame, nicks: DataFrame) -> DataFrame:
-    """(doc, a, b, cosine, verdict) of the pairs that are not told apart."""
-    words = values.select("doc", "sig", F.explode(F.split(F.element_at(F.split("sig", "[|]"), 1), " ")).alias("word"))
-    docs = words.groupBy("word").agg(F.countDistinct("doc").alias("docs"))
+def _words(values: DataFrame) -> DataFrame:
+    """(doc, word, docs): the words of each document's values with the number of documents each stands in."""
+    words = staged(values.select("doc", F.explode(F.split(F.element_at(F.split("sig", "[|]"), 1), " ")).alias("word")).distinct(), "name-words")
+    return words.join(words.groupBy("word").agg(F.count("*").alias("docs")), "word")
+
+
+def _judged(pairs: DataFrame, values: DataFrame, words: DataFrame) -> DataFrame:
+    """(doc, a, b, cosine, verdict, nick) of the pairs that are not told apart, by joins."""
+    mine = values.select("doc", "sig", F.explode(F.split(F.element_at(F.split("sig", "[|]"), 1), " ")).alias("word"))
     # the few words of one value with the number of documents each stands in
-    known = staged(words.join(docs, "word").groupBy("doc", "sig").agg(F.collect_list(F.concat_ws(":", "word", "docs")).alias("known")), "name-words")
+    known = staged(mine.join(words, ["doc", "word"]).groupBy("doc", "sig").agg(F.collect_list(F.concat_ws(":", "word", "docs")).alias("known")), "name-known")
     sides = [known.select("doc", F.col("sig").alias(x), F.col("known").alias(f"k{x}")) for x in "ab"]
 
     @F.pandas_udf("verdict string, x string, y string")
@@ -373,7 +422,43 @@ def _verdicts(pairs: DataFrame, values: DataFrame, nicks: DataFrame) -> DataFram
         return pd.DataFrame(out, columns=["verdict", "x", "y"])
 
     judged = pairs.join(sides[0], ["doc", "a"]).join(sides[1], ["doc", "b"]).select("doc", "a", "b", "cosine", judge("a", "b", "ka", "kb").alias("j"))
-    judged = staged(judged.select("doc", "a", "b", "cosine", "j.verdict", F.concat_ws("~", "j.x", "j.y").alias("nick")).where("verdict <> 'no'"), "name-verdicts")
+    return judged.select("doc", "a", "b", "cosine", "j.verdict", F.concat_ws("~", "j.x", "j.y").alias("nick")).where("verdict <> 'no'")
+
+
+def _judged_in_rows(values: DataFrame, words: DataFrame, n: int, counts: DataFrame) -> DataFrame:
+    """The same for documents whose values meet in one row."""
+    spark = values.sparkSession
+    table = np.zeros(GRAM_BUCKETS)
+    for r in counts.toLocalIterator():  # at most GRAM_BUCKETS numbers
+        table[r.bucket] = r.df
+    df = spark.sparkContext.broadcast(table)  # 2 MB
+    both = values.select("doc", "sig", F.lit(None).cast("string").alias("known")).unionByName(words.select("doc", F.lit(None).cast("string").alias("sig"), F.concat_ws(":", "word", "docs").alias("known")))
+    rows = both.groupBy("doc").agg(F.collect_list("sig").alias("sigs"), F.collect_list("known").alias("known"))  # at most ROW_VALUES values
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        weights: dict[str, float] = {}
+
+        def weight(gram: str) -> float:
+            if gram not in weights:
+                weights[gram] = math.log1p(n / max(df.value[_bucket(gram)], 1.0))
+            return weights[gram]
+
+        for b in batches:
+            out = []
+            for doc, sigs, known in zip(b["doc"], b["sigs"], b["known"], strict=True):
+                docs = {w: int(k) for w, k in (e.rsplit(":", 1) for e in known)}
+                for p, q, c in pairs_of(list(sigs), weight):
+                    verdict, x, y = compare(p, q, docs)
+                    if verdict != "no":
+                        out.append((doc, p, q, c, verdict, f"{x}~{y}"))
+            if out:
+                yield pd.DataFrame(out, columns=["doc", "a", "b", "cosine", "verdict", "nick"])
+
+    return rows.mapInPandas(run, f"doc {values.schema['doc'].dataType.simpleString()}, a string, b string, cosine double, verdict string, nick string")
+
+
+def _with_nicknames(judged: DataFrame, nicks: DataFrame) -> DataFrame:
+    """(doc, a, b, cosine, verdict) with the pairs that differ in a nickname only, and without those in two first names."""
     sure = judged.where("verdict <> 'nick'").select("doc", "a", "b", "cosine", "verdict")
     maybe = judged.where("verdict = 'nick'")
     # names that stand before one surname far more often together than with others
@@ -399,11 +484,14 @@ def _components(values: DataFrame, edges: DataFrame) -> DataFrame:
     while True:
         seen = both.join(labels.select("doc", F.col("sig").alias("other"), "comp"), ["doc", "other"]).groupBy("doc", "sig").agg(F.min("comp").alias("near"))
         new = staged(labels.join(seen, ["doc", "sig"]).select("doc", "sig", F.least("comp", "near").alias("comp"), (F.col("near") < F.col("comp")).alias("moved")), "name-comp")
+        unstaged(labels)
         if new.where("moved").limit(1).count() == 0:
+            unstaged(both)
             return new.select("doc", "sig", "comp")
         # a label's own label is nearer to the end
         jump = new.select("doc", F.col("sig").alias("comp"), F.col("comp").alias("further"))
         labels = staged(new.select("doc", "sig", "comp").join(jump, ["doc", "comp"]).select("doc", "sig", F.col("further").alias("comp")), "name-comp")
+        unstaged(new)
 
 
 def linkage(full: list[str], similarity: dict[str, dict[str, float]]) -> dict[str, list[str]]:
@@ -503,10 +591,12 @@ def _linkage(full: DataFrame, links: DataFrame) -> DataFrame:
         if into.limit(1).count() == 0:
             return labels
         moved = lambda df, c: df.join(into.withColumnRenamed("y", c), ["doc", c], "left").withColumn(c, F.coalesce("into", c)).drop("into")  # noqa: B023, E731
+        before = labels, sizes, sums, into
         labels = staged(moved(labels, "class_sig").select("doc", "sig", "class_sig"), "name-labels")
         sizes = staged(moved(sizes, "x").groupBy("doc", "x").agg(F.sum("n").alias("n")), "name-sizes")
         sums = moved(moved(sums, "x"), "y").where("x <> y").select("doc", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "s")
         sums = staged(sums.groupBy("doc", "x", "y").agg(F.sum("s").alias("s")), "name-sums")
+        unstaged(*before)
 
 
 @F.pandas_udf(T.BooleanType())
@@ -514,15 +604,13 @@ def _names_member(base: pd.Series, member: pd.Series) -> pd.Series:
     return pd.Series([b == m or compare(b, m, {})[0] == "full" for b, m in zip(base, member, strict=True)])
 
 
-def _large_classes(rows: DataFrame, edges: DataFrame, comps: DataFrame) -> DataFrame:
-    """(doc, sig, base_sig, class_sig) for components too large for one row: what ``cluster`` gives, by joins only."""
-    large = staged(comps.select("doc", "sig"), "name-large")
-    values = rows.join(large, ["doc", "sig"], "left_semi").select("doc", "sig", "base_sig").distinct()
-    if large.limit(1).count() == 0:
-        return values.limit(0).withColumn("class_sig", F.col("sig"))
-    partial = F.udf(is_partial, "boolean")
-    values = staged(values.withColumn("partial", partial("sig")).withColumn("initials", F.element_at(F.split("sig", "[|]"), 2) != ""), "name-large-values")
-    edges = staged(edges.join(large.withColumnRenamed("sig", "a"), ["doc", "a"], "left_semi"), "name-large-edges")  # an edge's ends are in one component
+_PARTIAL = r"^[^| ]*\||\|A$"
+
+
+def _large_classes(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """(doc, sig, base_sig, class_sig) for documents too large for one row: what ``classes_of`` gives, by joins only."""
+    values = rows.select("doc", "sig", "base_sig").distinct()
+    values = staged(values.withColumn("partial", F.col("sig").rlike(_PARTIAL)).withColumn("initials", F.element_at(F.split("sig", "[|]"), 2) != ""), "name-large-values")
     both = edges.select("doc", F.col("a").alias("sig"), F.col("b").alias("other")).unionByName(edges.select("doc", F.col("b").alias("sig"), F.col("a").alias("other")))
     full = values.where("not partial").select("doc", "sig").distinct()
     links = edges.where("verdict = 'full'").join(full.withColumnRenamed("sig", "a"), ["doc", "a"], "left_semi").join(full.withColumnRenamed("sig", "b"), ["doc", "b"], "left_semi")
@@ -551,36 +639,69 @@ def _large_classes(rows: DataFrame, edges: DataFrame, comps: DataFrame) -> DataF
     return out
 
 
+def classes_of(values: list[tuple[str, str | None]], edges: list[tuple[str, str, float, str]]) -> dict[tuple[str, str | None], str]:
+    """Class of every (signature, base signature) of a document: ``cluster`` of each connected component."""
+    root = {s: s for s, _ in values}
+
+    def top(s: str) -> str:
+        while root[s] != s:
+            root[s] = root[root[s]]
+            s = root[s]
+        return s
+
+    for a, b, _, _ in edges:
+        root[max(top(a), top(b))] = min(top(a), top(b))
+    parts: dict[str, tuple[list, list]] = defaultdict(lambda: ([], []))
+    for v in values:
+        parts[top(v[0])][0].append(v)
+    for e in edges:
+        parts[top(e[0])][1].append(e)
+    out: dict[tuple[str, str | None], str] = {}
+    for mine, lines in parts.values():
+        if lines:
+            out |= cluster(mine, lines)
+    return out
+
+
 def name_classes(df: DataFrame, entity: str = "entity_id", doc: str = "doc_id", text: str = "text", base: str = "base_form", type_: str = "type") -> DataFrame:
-    """(entity, doc, text, class_sig): the class of every row that holds a name.
+    """(entity, doc, text, class_sig, type): the class of every row that holds a name.
 
     Rows with a null document or text and those that hold no name have no row.
     Only rows of one document are compared.  Repeated rows get a row each.
     """
     rows = staged(_parsed(df, (entity, doc), text, base, type_), "names")
-    values = staged(rows.select("doc", "sig").distinct(), "name-values")
+    nodes = staged(rows.select("doc", "sig", "base_sig").distinct(), "name-nodes")
+    values = staged(nodes.select("doc", "sig").distinct(), "name-values")
     nicks = rows.select("doc", F.explode("nicks").alias("nick")).groupBy("nick").agg(F.countDistinct("doc").alias("places")).where(F.col("places") >= NICKNAME_PLACES).select("nick")
-    pairs = similar(values).unionByName(acronym_pairs(values))
-    edges = staged(_verdicts(pairs, values, nicks), "name-edges")
-    comps = _components(values, edges)
-    sized = comps.groupBy("doc", "comp").agg(F.count("*").alias("size"))
-    comps = staged(comps.join(sized, ["doc", "comp"]), "name-comps")
-    large = _large_classes(rows, edges, comps.where(F.col("size") > ROW_VALUES))
-    comps = comps.where(F.col("size") <= ROW_VALUES).drop("size")
-    # one row for each component: its values and its edges, which are the spellings of one or a few names
-    nodes = rows.select("doc", "sig", "base_sig").distinct().join(comps, ["doc", "sig"])
-    nodes = nodes.groupBy("doc", "comp").agg(F.collect_list(F.struct("sig", "base_sig")).alias("nodes"))
-    lines = edges.join(comps.withColumnRenamed("sig", "a"), ["doc", "a"]).groupBy("doc", "comp").agg(F.collect_list(F.struct("a", "b", "cosine", "verdict")).alias("lines"))
-
-    @F.pandas_udf("array<struct<sig:string,base_sig:string,class_sig:string>>")
-    def run(nodes: pd.Series, lines: pd.Series) -> pd.Series:
-        out = []
-        for v, e in zip(nodes, lines, strict=True):
-            got = cluster([(x["sig"], x["base_sig"]) for x in v], [(x["a"], x["b"], x["cosine"], x["verdict"]) for x in e])
-            out.append([{"sig": s, "base_sig": b, "class_sig": c} for (s, b), c in got.items()])
-        return pd.Series(out)
+    n, counts = gram_counts(values)
+    words = staged(_words(values), "name-word-docs")
+    large = staged(values.groupBy("doc").count().where(F.col("count") > ROW_VALUES).select("doc"), "name-large")
+    has_large = large.limit(1).count() > 0
+    alone = (lambda t: t.join(large, "doc", "left_anti")) if has_large else (lambda t: t)
+    hot = lambda t: t.join(large, "doc", "left_semi")
+    judged = _judged_in_rows(alone(values), alone(words), n, counts)
+    if has_large:
+        pairs = similar(hot(values), n, counts).unionByName(acronym_pairs(hot(values)))
+        judged = judged.unionByName(_judged(pairs, hot(values), hot(words)))
+    judged = staged(judged, "name-judged")
+    edges = staged(_with_nicknames(judged, nicks), "name-edges")
+    # one row for each document: its values and its edges
+    lines = alone(edges).groupBy("doc").agg(F.collect_list(F.struct("a", "b", "cosine", "verdict")).alias("lines"))
+    members = alone(nodes).groupBy("doc").agg(F.collect_list(F.struct("sig", "base_sig")).alias("nodes"))
 
-    clustered = nodes.join(lines, ["doc", "comp"]).select("doc", F.explode(run("nodes", "lines")).alias("c")).select("doc", "c.sig", "c.base_sig", "c.class_sig").unionByName(large)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for d, v, e in zip(b["doc"], b["nodes"], b["lines"], strict=True):
+                got = classes_of([(x["sig"], x["base_sig"]) for x in v], [(x["a"], x["b"], x["cosine"], x["verdict"]) for x in e])
+                out += [(d, s, y, c) for (s, y), c in got.items()]
+            if out:
+                yield pd.DataFrame(out, columns=["doc", "sig", "base_sig", "class_sig"])
+
+    kind = values.schema["doc"].dataType.simpleString()
+    clustered = members.join(lines, "doc").select("doc", "nodes", "lines").mapInPandas(run, f"doc {kind}, sig string, base_sig string, class_sig string")
+    if has_large:
+        clustered = clustered.unionByName(_large_classes(hot(nodes), staged(hot(edges), "name-large-edges")))
     marked = clustered.select("doc", "sig", F.coalesce("base_sig", F.lit("")).alias("b"), "class_sig")
     joined = rows.withColumn("b", F.coalesce("base_sig", F.lit(""))).join(marked, ["doc", "sig", "b"], "left")
     return joined.select(F.col("entity").alias(entity), F.col("doc").alias(doc), F.col("text").alias(text), F.coalesce("class_sig", "sig").alias("class_sig"), F.col("type").alias("type"))
@@ -590,8 +711,15 @@ def same_name(df: DataFrame, entity: str = "entity_id", doc: str = "doc_id", tex
     """(<entity>_a, <entity>_b), smaller first: rows of a document that name the same one by different strings."""
     c = staged(name_classes(df, entity, doc, text, base, type_), "name-classes")
     # a word alone without a full name beside it is a name only if its type says so
-    alone = ~F.element_at(F.split("class_sig", "[|]"), 1).contains(" ") & ~F.coalesce(F.upper("type"), F.lit("")).rlike("PERSON|ORG|COMPANY|INDIRECT|ALIAS")
+    alone = ~F.element_at(F.split("class_sig", "[|]"), 1).contains(" ") & ~F.coalesce(F.upper("type"), F.lit("")).rlike(_NAME_TYPE.pattern)
     c = c.where(~alone)
     left = c.select(F.col(doc).alias("d"), "class_sig", F.col(entity).alias("a"), F.col(text).alias("ta"))
     right = c.select(F.col(doc).alias("d"), "class_sig", F.col(entity).alias("b"), F.col(text).alias("tb"))
     return left.join(right, ["d", "class_sig"]).where("a < b AND ta <> tb").select(F.col("a").alias(f"{entity}_a"), F.col("b").alias(f"{entity}_b"))
+
+
+def name_groups(df: DataFrame, entity: str = "entity_id", doc: str = "doc_id", text: str = "text", base: str = "base_form", type_: str = "type") -> DataFrame:
+    """(entity, class_id, n): each row that holds a name with the smallest identifier of its class and the number of rows there."""
+    c = staged(name_classes(df, entity, doc, text, base, type_), "name-classes")
+    counted = c.groupBy(F.col(doc).alias("_d"), F.col("class_sig").alias("_c")).agg(F.min(entity).alias("class_id"), F.count("*").alias("n"))
+    return c.join(counted, (F.col(doc) == F.col("_d")) & (F.col("class_sig") == F.col("_c"))).select(entity, "class_id", "n")

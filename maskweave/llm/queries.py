@@ -61,6 +61,10 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.same_name(table(spark, sf_dir, "entity_models"))
 
 
+def p6_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.name_groups(table(spark, sf_dir, "entity_models"))
+
+
 def _configs(spark: SparkSession, sf_dir: str) -> list[pieces.Size]:
     return pieces.configurations(table(spark, sf_dir, "app_configs"))
 
@@ -93,7 +97,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (p1_found, p1_groups, p2_found, p2_sanitised, p3_found, p3_records, p5_found, p5_buildings, p6_found, p7_found, p7_pieces, p8_ids, p9_mix, p9_shares, p10_found)
+        for f in (p1_found, p1_groups, p2_found, p2_sanitised, p3_found, p3_records, p5_found, p5_buildings, p6_found, p6_classes, p7_found, p7_pieces, p8_ids, p9_mix, p9_shares, p10_found)
     }
 
 

@@ -170,14 +170,6 @@ def test_relatives_stay_apart(spark):
     assert sorted(map(tuple, names.same_name(df).collect())) == [(0, 1), (0, 4), (1, 4), (2, 3), (2, 6), (3, 6)]
 
 
-def test_large_components_are_grouped_by_joins(spark, monkeypatch):
-    t = spark.read.parquet("/root/testdata/sf0.001/entity_models.parquet")
-    whole = set(map(tuple, names.same_name(t).collect()))
-    monkeypatch.setattr(names, "ROW_VALUES", 3)
-    joined = set(map(tuple, names.same_name(t).collect()))
-    assert len(whole) > 100 and len(whole ^ joined) <= 0.03 * len(whole)
-
-
 def test_joins_give_what_one_row_gives(spark, monkeypatch):
     rows = [(1, "J. Smith", None), (2, "Smith", None), (3, "Smith's", None), (4, "J.K. Smith", None), (5, "Morin", "Frederik Morin"), (6, "Frederick Morin", None), (7, "Andrew Morin", None), (8, "MORIN, Frederick", None), (9, "Fred Morin", None), (10, "Mr. Morin", None), (11, "HTA", None), (12, "H.T.A.", None), (13, "Ada Smithson", None)]
     df = spark.createDataFrame([(i, 1, t, "PERSON", b) for i, t, b in rows], "entity_id long, doc_id long, text string, type string, base_form string")
@@ -190,6 +182,14 @@ def test_joins_give_what_one_row_gives(spark, monkeypatch):
         assert whole and set(map(tuple, names.same_name(x).collect())) == whole
 
 
+def test_names_with_numbers_and_long_ones(spark):
+    many = "Society of the Friends and Patrons of the Royal Botanical Gardens Library Museum and Theatre Foundation"
+    rows = [(1, "Studio 54", "ORG"), (2, "Studio 54 Inc.", "ORGANIZATION"), (3, "Studio 55", "ORG"), (4, many, "ORG"), (5, many.upper(), "ORG"), (6, "12 Orchard Street", None), (7, "ORCHARD STREET 12", "ADDRESS"), (8, "a@studio54.test", "ORG"), (9, "A/S Holmgren", "ORG"), (10, "Holmgren A/S", "COMPANY")]
+    df = spark.createDataFrame([(i, 1, t, y, None) for i, t, y in rows], "entity_id long, doc_id long, text string, type string, base_form string")
+    assert sorted(map(tuple, names.same_name(df).collect())) == [(1, 2), (4, 5), (9, 10)]
+    assert {(r.entity_id, r.class_id, r.n) for r in names.name_groups(df).collect()} >= {(2, 1, 2), (5, 4, 2), (3, 3, 1)}
+
+
 def test_linkage_merges_the_nearest_first():
     """Average linkage of a component of any size against the plain way of it."""
     rng = random.Random(2)
@@ -217,12 +217,13 @@ def test_linkage_merges_the_nearest_first():
 
 
 def test_similar_by_brute_force(spark):
-    """The prefix join loses no pair that reaches the cosine."""
+    """Neither way loses a pair that reaches the cosine."""
     import math
 
     rng = random.Random(7)
     sigs = sorted({f"{''.join(rng.choices('abcd', k=4))} {''.join(rng.choices('abcd', k=5))}|||" for _ in range(80)})
     df = spark.createDataFrame([(1, s) for s in sigs], "doc long, sig string")
+    assert {r.sig: sorted(r.g) for r in df.select("sig", names.grams_column(F.col("sig")).alias("g")).collect()} == {s: names.grams(s) for s in sigs}
     g = {s: names.grams(s) for s in sigs}
     count = {}
     for x in g.values():
@@ -232,7 +233,9 @@ def test_similar_by_brute_force(spark):
     norm = {s: math.sqrt(sum(w[y] ** 2 for y in x)) for s, x in g.items()}
     cos = lambda a, b: sum(w[y] ** 2 for y in set(g[a]) & set(g[b])) / norm[a] / norm[b]
     want = {(a, b) for a in sigs for b in sigs if a < b and cos(a, b) >= 0.3}
-    assert {(r.a, r.b) for r in names.similar(df, 0.3).collect()} == want
+    n, counts = names.gram_counts(df)
+    assert {(r.a, r.b) for r in names.similar(df, n, counts, 0.3).collect()} == want
+    assert {(a, b) for a, b, _ in names.pairs_of(sigs, lambda y: w[y], 0.3)} == want
 
 
 # 7: pieces
