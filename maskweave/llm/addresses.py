@@ -12,9 +12,13 @@
 3. localities   every postcode takes the town that most addresses give with it, so
                 an address with either of them gets its locality.
 4. assignment   blocks are (locality, number, letter): a different number is a hard
-                veto.  Inside a block a second deletion-neighbourhood index merges
-                what the corpus could not decide, types veto each other, and an
-                address without a type takes the only type its street has there.
+                veto, a different unit too where units count.  Inside a block a second
+                deletion-neighbourhood index merges what the corpus could not decide,
+                types veto each other, and an address without a type takes the only
+                type its street has there.
+5. neighbours   localities are neighbours if addresses give them with one postcode.  Two
+                buildings of neighbouring localities are one if number, street and
+                type agree and both are given with the very same postcode.
 
 Buildings are keys, not lists: no block is ever collected.
 """
@@ -30,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from maskweave.session import staged
+from maskweave.session import staged, unstaged
 
 # Street types and how they are abbreviated.
 TYPES = {
@@ -60,9 +64,9 @@ def _fold(text: str) -> str:
     return "".join(c for c in text if not unicodedata.combining(c))
 
 
-def parse(text: str | None) -> tuple[str | None, str | None, str | None, str | None, str]:
-    """(number with letter, postcode, street name, street type, other words); no number if the text is no address."""
-    nothing = (None, None, None, None, "")
+def parse(text: str | None) -> tuple[str | None, str | None, str | None, str | None, str, str]:
+    """(number with letter, postcode, street name, street type, other words, unit); no number if the text is no address."""
+    nothing = (None, None, None, None, "", "")
     if not text:
         return nothing
     f = _fold(text)
@@ -70,6 +74,8 @@ def parse(text: str | None) -> tuple[str | None, str | None, str | None, str | N
         return nothing
     f = _CARE.sub(" , ", f)
     f = _FLOOR.sub(" , ", f)
+    unit = _UNIT.search(f)
+    unit = re.sub(r"\W", "", re.search(r"(?:\d+\s?[a-z]?|[a-z])\s*$", unit[0])[0]) if unit else ""
     f = _UNIT.sub(" , ", f)
     post = _POST.search(f)
     if post:
@@ -98,15 +104,15 @@ def parse(text: str | None) -> tuple[str | None, str | None, str | None, str | N
                     j += 1
                 name, kind, words = "".join(x for x in words[i + 1 : j] if x not in _LEADING_LINKS) or None, _LEADING[w], words[:i] + words[j:]
                 break
-    return number[1] + (number[2] or ""), post[1] if post else None, name, kind, " ".join(w for w in words if w != ",")
+    return number[1] + (number[2] or ""), post[1] if post else None, name, kind, " ".join(w for w in words if w != ","), unit
 
 
 def parsed(df: DataFrame, id_col: str, address: str) -> DataFrame:
-    """(rec_id, number, postcode, street, kind, rest) of the rows whose address is one."""
+    """(rec_id, number, postcode, street, kind, rest, unit) of the rows whose address is one."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            got = pd.DataFrame([parse(x) for x in b["address"]], columns=["number", "postcode", "street", "kind", "rest"])
+            got = pd.DataFrame([parse(x) for x in b["address"]], columns=["number", "postcode", "street", "kind", "rest", "unit"])
             got.insert(0, "rec_id", b["rec_id"].values)
             got = got[got["number"].notna()]
             if len(got):
@@ -114,7 +120,7 @@ def parsed(df: DataFrame, id_col: str, address: str) -> DataFrame:
 
     kind = df.schema[id_col].dataType.simpleString()
     return df.where(F.col(address).isNotNull()).select(F.col(id_col).alias("rec_id"), F.col(address).alias("address")).mapInPandas(
-        run, f"rec_id {kind}, number string, postcode string, street string, kind string, rest string"
+        run, f"rec_id {kind}, number string, postcode string, street string, kind string, rest string, unit string"
     )
 
 
@@ -144,11 +150,11 @@ def _better(values: DataFrame, block: list[str], word: str, count: str, times: i
     near = variants.join(others, [*block, "variant"]).where((rank("times", "other") < rank("own", "word")) & (F.col("times") >= F.col("own") * times) & _close(F.col("other"), F.col("word")))
     to = staged(near.groupBy(*block, "word").agg(F.min(rank("times", "other"))["w"].alias("better")), "address-better")
     while True:
-        onwards = to.select(*block, F.col("word").alias("better"), F.col("better").alias("further"))
+        onwards, before = to.select(*block, F.col("word").alias("better"), F.col("better").alias("further")), to
         to = staged(to.join(onwards, [*block, "better"], "left").select(*block, "word", F.coalesce("further", "better").alias("better"), F.col("further").isNotNull().alias("moved")), "address-better")
+        unstaged(before)
         if to.where("moved").limit(1).count() == 0:
             return to.select(*block, F.col("word").alias(word), "better")
-        to = to.drop("moved")
 
 
 def _respelled(words: DataFrame, times: int = 4) -> DataFrame:
@@ -158,9 +164,34 @@ def _respelled(words: DataFrame, times: int = 4) -> DataFrame:
     return counts.join(better, "word", "left").select("word", F.coalesce("better", "word").alias("good"))
 
 
-def buildings(df: DataFrame, id_col: str = "sample_id", address: str = "address_1") -> DataFrame:
+def _joined_neighbours(placed: DataFrame) -> DataFrame:
+    """(locality, number, street, kind, nearby): for buildings that a more frequent one of a neighbouring locality stands for.
+
+    Both are given with the same postcode.  Chains are followed to their end.
+    """
+    key = ["number", "street", "kind"]
+    size = placed.groupBy("locality", *key).agg(F.count("*").alias("n"))
+    at = placed.where("postcode is not null").select("postcode", "locality", *key).distinct().join(size, ["locality", *key])
+    at = staged(at, "address-at")  # one row for each postcode and spelling of a building's locality, which are few
+    rank = lambda n, l: F.struct((-F.col(n)).alias("n"), F.col(l).alias("l"))  # noqa: E731, E741
+    best = at.groupBy("postcode", *key).agg(F.min(rank("n", "locality"))["l"].alias("nearby"))
+    to = at.join(best, ["postcode", *key]).where("nearby <> locality").join(size.select(F.col("locality").alias("nearby"), *key, F.col("n").alias("m")), ["nearby", *key])
+    to = staged(to.groupBy("locality", *key).agg(F.min(rank("m", "nearby"))["l"].alias("nearby")), "address-nearby")
+    while True:
+        onwards = to.select(F.col("locality").alias("nearby"), *key, F.col("nearby").alias("further"))
+        new = staged(to.join(onwards, ["nearby", *key], "left").select("locality", *key, F.coalesce("further", "nearby").alias("nearby"), F.col("further").isNotNull().alias("moved")), "address-nearby")
+        unstaged(to)
+        if new.where("moved").limit(1).count() == 0:
+            return new.drop("moved")
+        to = new
+
+
+def buildings(df: DataFrame, id_col: str = "sample_id", address: str = "address_1", units: bool = False) -> DataFrame:
     """(id, locality, number, street, kind): the building of every address that has a number, a street and a locality.
 
+    units: a number with another flat, room or the like is another place (a hard
+    veto); its ``number`` then ends in ``/unit``.  Without it, units make no difference.
+
     Null, empty and filler values and addresses without a number, street or
     locality have no row.  kind is empty where the type is not known, also where
     a street's name has several types in the block: such an address is at a
@@ -168,7 +199,9 @@ def buildings(df: DataFrame, id_col: str = "sample_id", address: str = "address_
     rows get a row each; everything is worked out once for each distinct text.
     """
     rows = df.where(F.length(address) > 0).select(F.col(id_col).alias("row_id"), F.sha2(F.col(address), 256).alias("address_key"), F.col(address).alias("address"))
-    base = staged(parsed(rows.select("address_key", "address").dropDuplicates(["address_key"]), "address_key", "address"), "addresses")
+    base = parsed(rows.select("address_key", "address").dropDuplicates(["address_key"]), "address_key", "address")
+    number = F.when(F.col("unit") != "", F.concat_ws("/", "number", "unit")).otherwise(F.col("number")) if units else F.col("number")
+    base = staged(base.withColumn("number", number).drop("unit"), "addresses")
     rest = base.select("rec_id", F.posexplode(F.split("rest", " ")).alias("pos", "word")).where("word <> ''")
     streets = base.where("street is not null").select(F.col("street").alias("word"))
     spelling = staged(_respelled(rest.select("word").unionByName(streets)), "address-good")
@@ -206,7 +239,7 @@ def buildings(df: DataFrame, id_col: str = "sample_id", address: str = "address_
     placed = named.join(town_of, "postcode", "left").join(towns, "town", "left")
     rare = F.col("its_town").isNotNull() & (F.coalesce("town_rows", F.lit(0)) < 3)
     locality = F.coalesce(F.when(rare, F.col("its_town")), F.col("town"), F.col("its_town"), F.concat(F.lit("postcode "), F.col("postcode")))
-    placed = staged(placed.withColumn("locality", locality).where("locality is not null").select("rec_id", "locality", "number", "street", "kind"), "addresses-placed")
+    placed = staged(placed.withColumn("locality", locality).where("locality is not null").select("rec_id", "locality", "postcode", "number", "street", "kind"), "addresses-placed")
 
     # inside blocks: spellings that the corpus could not decide
     block = ["locality", "number"]
@@ -219,7 +252,8 @@ def buildings(df: DataFrame, id_col: str = "sample_id", address: str = "address_
     chosen = F.when((F.col("kind") == "") & (F.col("kinds") == 1), F.col("only_kind")).otherwise(F.col("kind"))
     values = values.select(*block, "street", "kind", F.col("known"), chosen.alias("chosen"))
     out = placed.join(values, [*block, "street", "kind"])
-    out = out.select(F.col("rec_id").alias("address_key"), "locality", "number", F.col("known").alias("street"), F.col("chosen").alias("kind"))
+    out = staged(out.select(F.col("rec_id").alias("address_key"), "locality", "postcode", "number", F.col("known").alias("street"), F.col("chosen").alias("kind")), "addresses-known")
+    out = out.join(_joined_neighbours(out), ["locality", "number", "street", "kind"], "left").withColumn("locality", F.coalesce("nearby", "locality"))
     return rows.select("row_id", "address_key").join(out, "address_key").select(F.col("row_id").alias(id_col), "locality", "number", "street", "kind")
 
 

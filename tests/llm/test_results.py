@@ -145,6 +145,39 @@ def test_addresses_without_a_type_keep_their_rows(spark):
     assert sorted(r.sample_id for r in addresses.building_classes(df).collect()) == sorted(i for i, _ in rows)
 
 
+def test_neighbouring_localities_and_units(spark):
+    rows = [(i, f"{i % 40 + 1} Orchard Street, 54320 Ulmton") for i in range(600, 680)] + [(i, f"{i % 40 + 1} Beacon Street, 54321 Garwick") for i in range(700, 720)]
+    rows += [(1, "90 Orchard Street, 54320 Ulmton"), (2, "90 Orchard Street, 54320 Garwick"), (3, "90 Orchard Street, Garwick"), (4, "90 Orchard Street, 54321 Garwick"), (5, "91 Orchard Street, Ulmton"), (6, "91 Orchard Street, Garwick")]
+    df = spark.createDataFrame(rows, "sample_id long, address_1 string")
+    pairs = {tuple(p) for p in addresses.same_building(df).collect() if p[1] < 10}
+    # 2 gives both; 1 has its postcode, 3 its town
+    assert pairs == {(1, 2), (1, 3), (1, 4), (2, 3), (2, 4), (3, 4)}
+    flats = spark.createDataFrame([*rows, (7, "95 Orchard Street, Flat 3, Ulmton"), (8, "Apt 3, 95 Orchard Street, Ulmton"), (9, "95 Orchard Street, Flat 4, Ulmton")], "sample_id long, address_1 string")
+    of = lambda **kw: {r.sample_id: (r.locality, r.number, r.street) for r in addresses.buildings(flats, **kw).collect()}
+    assert of()[7] == of()[8] == of()[9] and of(units=True)[7] == of(units=True)[8] != of(units=True)[9]
+
+
+def test_recall_of_the_deletion_index(spark):
+    """Against brute force: every pair of words that are one edit or one swap apart is compared."""
+    rng = random.Random(4)
+    words = sorted({"".join(rng.choices("abcde", k=rng.randint(4, 7))) for _ in range(400)})
+    counts = spark.createDataFrame([(w, 2 * i + 1) for i, w in enumerate(words)], "word string, n long")
+    got = dict(map(tuple, addresses._better(counts, [], "word", "n", 1, 4).collect()))
+
+    def close(a, b):
+        if a == b or abs(len(a) - len(b)) > 1:
+            return False
+        if len(a) == len(b):
+            d = [i for i in range(len(a)) if a[i] != b[i]]
+            return len(d) == 1 or len(d) == 2 and sorted(a) == sorted(b)
+        a, b = sorted((a, b), key=len)
+        return any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+
+    rank = {w: i for i, w in enumerate(words)}
+    met = [w for w in words if any(close(w, o) and rank[o] > rank[w] and (len(w) != len(o) or sum(x != y for x, y in zip(w, o)) == 1 or abs([x != y for x, y in zip(w, o)].index(True) - len(w) + 1 + [x != y for x, y in zip(w, o)][::-1].index(True)) == 1) for o in words)]
+    assert met and set(met) <= set(got)
+
+
 # 6: names
 
 
