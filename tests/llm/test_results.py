@@ -55,6 +55,19 @@ def test_values_of_look_alikes_are_told_by_a_latin_one(spark):
     assert sorted(r.i for r in skeleton.inconsistent(repeated).collect()) == [0, 0]
 
 
+def test_the_whole_table_of_look_alikes(spark):
+    table = skeleton.prototypes(spark)
+    same = [("rn", "m"), ("paypal", "paypa1"), ("A", "\u13aa"), ("A", "\ua4ee"), ("o", "\u2c9f"), ("A", "\U000102a0"), ("i", "\u0131"), ("PACE", "\u0420\u0410\u0421\u0415"), ("a b", "a\u00a0b"), ("\u00e9", "e\u0301")]
+    assert len(table) > 5000
+    for a, b in same:
+        assert skeleton.skeleton(a, table) == skeleton.skeleton(b, table), (a, b)
+    df = spark.createDataFrame([("paypal",), ("paypa1",), ("Ada",), ("\u13aada",), ("m~1|\"%",)], "text string")
+    got = {r.text: (r.form, r.skeleton) for r in skeleton.forms(df).collect()}
+    assert all(k == skeleton.skeleton(t, table) for t, (_, k) in got.items())  # expressions give what Python gives
+    assert got["\u13aada"][0] == "Ada" and {r.text for r in skeleton.inconsistent(df).collect()} == {"\u13aada"}
+    assert {(r.form, r.originals) for r in skeleton.groups(df).collect()} >= {("Ada", 2)}
+
+
 # 2: personal items
 
 
