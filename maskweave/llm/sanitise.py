@@ -36,8 +36,11 @@ from maskweave.session import staged
 
 #: Bits from which a term reveals a protected entity, by the roster and by co-occurrence.
 ROSTER_BITS, NEIGHBOUR_BITS = 0.5, 1.0
-#: A word beside a first name that the whole corpus holds at most so often is taken for a surname.
-RARE = 3
+#: A word beside a first name that the corpus holds at most so often is taken for a surname: a share of all its words, or
+#: in small corpora a few places.
+RARE_SHARE, RARE = 1e-6, 3
+#: At most so many terms are so frequent that they are told by a broadcast list instead of a shuffle.
+HOT_TERMS_MOST = 10_000
 
 _FLUSH_ROWS = 100_000
 KINDS = ("EMAIL", "PHONE", "ID", "ADDRESS", "PERSON")
@@ -138,8 +141,8 @@ def _neighbours(text: str, roles: dict[str, str]) -> Iterator[tuple[str, int, in
 def person_spans(text: str, roles: dict[str, str], taken: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
     """Spans of names in a folded text.
 
-    roles: G for a revealing first name, S for another revealing term, N for a
-    term that is frequent and reveals nothing; other words are rare.
+    roles: G for a revealing first name, S for another revealing term, R for a
+    rare one; other words are frequent and reveal nothing.
     """
     chars = list(text)
     for a, b, _ in taken:
@@ -148,7 +151,7 @@ def person_spans(text: str, roles: dict[str, str], taken: list[tuple[int, int, s
     words = _terms(masked)
     n = len(words)
     gap = [masked[words[i][2] : words[i + 1][1]] for i in range(n - 1)] + [""]
-    role = [roles.get(w[0], "") for w in words]
+    role = [roles.get(w[0], "N" if len(w[0]) > 1 else "R") for w in words]
     upper = [masked[w[1]].isupper() for w in words]
     initial = [len(w[0]) == 1 and masked[w[1]].isupper() and masked[w[2] : w[2] + 1] == "." for w in words]
     out: list[tuple[int, int]] = []
@@ -161,7 +164,7 @@ def person_spans(text: str, roles: dict[str, str], taken: list[tuple[int, int, s
         if j >= n or initial[j]:
             return i
         known = role[j] in ("S", "G")
-        rare = role[j] == ""
+        rare = role[j] == "R"
         if upper[j] and len(words[j][0]) > 1 and (known or rare) or not upper[j] and not upper[like] and (role[j] == "S" or rare and j == i):
             j += 1
             while j < n and gap[j - 1] == "-" and upper[j] and len(words[j][0]) > 1:
@@ -194,7 +197,7 @@ def person_spans(text: str, roles: dict[str, str], taken: list[tuple[int, int, s
             if j < n and gap[j - 1] in (". ", "."):
                 s = surname(j, i)
                 end = s if s > j else i
-        elif upper[i] and len(words[i][0]) > 2 and role[i] in ("S", ""):
+        elif upper[i] and len(words[i][0]) > 2 and role[i] in ("S", "R"):
             # surname, first name
             s = surname(i, i)
             if s > i and s < n and gap[s - 1] == ", " and (role[s] == "G" or initial[s] and role[s - 1] == "S"):
@@ -323,6 +326,12 @@ def find_items(rows: DataFrame, protected: DataFrame, text: str = "text", name:
     known = staged(disclosure(words, protected, name), "pii-disclosure")
     by_roster = known.where(F.col("bits") >= ROSTER_BITS).select("term", F.when(F.col("n_first") * 2 >= F.col("n_names"), "G").otherwise("S").alias("role"))
 
+    counts = staged(words.groupBy("term").agg(F.sum("n").alias("n")), "pii-terms")
+    total = counts.agg(F.sum("n")).first()[0] or 0  # one number
+    # the rows of terms that stand everywhere are not shuffled by term, unless such a term is in the roster
+    hot = counts.where(F.col("n") >= max(total / HOT_TERMS_MOST, RARE + 1)).join(known, "term", "left_anti").select("term")
+    few = words.join(F.broadcast(hot), "term", "left_anti")  # at most HOT_TERMS_MOST terms
+
     def beside(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             near, all_ = Counter(), Counter()
@@ -333,17 +342,16 @@ def find_items(rows: DataFrame, protected: DataFrame, text: str = "text", name:
             if all_:
                 yield pd.DataFrame({"term": list(all_), "near": [near[t] for t in all_], "n": list(all_.values())})
 
-    pairs = _marked(texts, words, by_roster.where("role = 'G'")).select("text", "roles").mapInPandas(beside, "term string, near long, n long")
+    pairs = _marked(texts, few, by_roster.where("role = 'G'")).select("text", "roles").mapInPandas(beside, "term string, near long, n long")
     pairs = staged(pairs.groupBy("term").agg(F.sum("near").alias("near"), F.sum("n").alias("n")), "pii-neighbours")
     base = pairs.agg(F.sum("near") / F.sum("n")).first()[0] or 1.0  # one number
     gain = F.log2((F.col("near") / F.col("n")) / F.lit(base))
     by_neighbour = pairs.where((F.col("near") > 0) & (gain >= NEIGHBOUR_BITS)).select("term", F.lit("S").alias("role"))
     by_neighbour = by_neighbour.join(by_roster, "term", "left_anti")
     revealing = by_roster.unionByName(by_neighbour)
-    # frequent terms that reveal nothing; the rest of the vocabulary is rare
-    counts = words.groupBy("term").agg(F.sum("n").alias("n"))
-    plain = counts.where(F.col("n") > RARE).join(revealing, "term", "left_anti").select("term", F.lit("N").alias("role"))
-    roles = staged(revealing.unionByName(plain), "pii-roles")
+    # rare terms; the rest of the vocabulary is frequent, reveals nothing and goes nowhere
+    rare = counts.where(F.col("n") <= F.greatest(F.lit(RARE), F.lit(RARE_SHARE * total))).join(revealing, "term", "left_anti").select("term", F.lit("R").alias("role"))
+    roles = staged(revealing.unionByName(rare), "pii-roles")
 
     def spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -361,7 +369,8 @@ def find_items(rows: DataFrame, protected: DataFrame, text: str = "text", name:
             )
 
     schema = "key string, spans array<struct<start_pos:int,end_pos:int,pii_type:string>>, masked string"
-    found = _marked(texts, words, roles).select("key", "text", "roles").mapInPandas(spans, schema)
+    by_neighbour_hot = roles.join(hot, "term", "left_semi").limit(1).count() > 0  # a term that stands everywhere and beside first names
+    found = _marked(texts, words if by_neighbour_hot else few, roles).select("key", "text", "roles").mapInPandas(spans, schema)
     return rows, staged(found, "pii-spans")
 
 
