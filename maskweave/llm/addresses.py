@@ -124,6 +124,16 @@ def parsed(df: DataFrame, id_col: str, address: str) -> DataFrame:
     )
 
 
+def _met(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """A join by shuffles, never by a broadcast.
+
+    The planner knows the size of a compressed table, but not what exploding it
+    into variants makes of that, and would send much more to the driver than its
+    threshold says.
+    """
+    return left.join(right.hint("merge"), on, how)
+
+
 def deletions(word: Column) -> Column:
     """The word and what is left of it without any one letter."""
     left = F.transform(F.sequence(F.lit(1), F.greatest(F.length(word), F.lit(1))), lambda i: F.concat(F.substr(word, F.lit(1), i - 1), F.substr(word, i + 1)))
@@ -147,11 +157,11 @@ def _better(values: DataFrame, block: list[str], word: str, count: str, times: i
     known = values.where(F.length(word) >= least_length).select(*block, F.col(word).alias("word"), F.col(count).alias("own"))
     variants = known.select(*block, "word", "own", F.explode(deletions(F.col("word"))).alias("variant"))
     others = variants.select(*block, "variant", F.col("word").alias("other"), F.col("own").alias("times"))
-    near = variants.join(others, [*block, "variant"]).where((rank("times", "other") < rank("own", "word")) & (F.col("times") >= F.col("own") * times) & _close(F.col("other"), F.col("word")))
+    near = _met(variants, others, [*block, "variant"]).where((rank("times", "other") < rank("own", "word")) & (F.col("times") >= F.col("own") * times) & _close(F.col("other"), F.col("word")))
     to = staged(near.groupBy(*block, "word").agg(F.min(rank("times", "other"))["w"].alias("better")), "address-better")
     while True:
         onwards, before = to.select(*block, F.col("word").alias("better"), F.col("better").alias("further")), to
-        to = staged(to.join(onwards, [*block, "better"], "left").select(*block, "word", F.coalesce("further", "better").alias("better"), F.col("further").isNotNull().alias("moved")), "address-better")
+        to = staged(_met(to, onwards, [*block, "better"], "left").select(*block, "word", F.coalesce("further", "better").alias("better"), F.col("further").isNotNull().alias("moved")), "address-better")
         unstaged(before)
         if to.where("moved").limit(1).count() == 0:
             return to.select(*block, F.col("word").alias(word), "better")
@@ -161,7 +171,7 @@ def _respelled(words: DataFrame, times: int = 4) -> DataFrame:
     """(word, good): each word with its good spelling, by counts over all addresses."""
     counts = staged(words.groupBy("word").agg(F.count("*").alias("n")), "address-words")
     better = _better(counts, [], "word", "n", times, 4)
-    return counts.join(better, "word", "left").select("word", F.coalesce("better", "word").alias("good"))
+    return _met(counts, better, "word", "left").select("word", F.coalesce("better", "word").alias("good"))
 
 
 def _joined_neighbours(placed: DataFrame) -> DataFrame:
@@ -171,15 +181,16 @@ def _joined_neighbours(placed: DataFrame) -> DataFrame:
     """
     key = ["number", "street", "kind"]
     size = placed.groupBy("locality", *key).agg(F.count("*").alias("n"))
-    at = placed.where("postcode is not null").select("postcode", "locality", *key).distinct().join(size, ["locality", *key])
+    at = _met(placed.where("postcode is not null").select("postcode", "locality", *key).distinct(), size, ["locality", *key])
     at = staged(at, "address-at")  # one row for each postcode and spelling of a building's locality, which are few
     rank = lambda n, l: F.struct((-F.col(n)).alias("n"), F.col(l).alias("l"))  # noqa: E731, E741
     best = at.groupBy("postcode", *key).agg(F.min(rank("n", "locality"))["l"].alias("nearby"))
-    to = at.join(best, ["postcode", *key]).where("nearby <> locality").join(size.select(F.col("locality").alias("nearby"), *key, F.col("n").alias("m")), ["nearby", *key])
+    to = _met(at, best, ["postcode", *key]).where("nearby <> locality")
+    to = _met(to, size.select(F.col("locality").alias("nearby"), *key, F.col("n").alias("m")), ["nearby", *key])
     to = staged(to.groupBy("locality", *key).agg(F.min(rank("m", "nearby"))["l"].alias("nearby")), "address-nearby")
     while True:
         onwards = to.select(F.col("locality").alias("nearby"), *key, F.col("nearby").alias("further"))
-        new = staged(to.join(onwards, ["nearby", *key], "left").select("locality", *key, F.coalesce("further", "nearby").alias("nearby"), F.col("further").isNotNull().alias("moved")), "address-nearby")
+        new = staged(_met(to, onwards, ["nearby", *key], "left").select("locality", *key, F.coalesce("further", "nearby").alias("nearby"), F.col("further").isNotNull().alias("moved")), "address-nearby")
         unstaged(to)
         if new.where("moved").limit(1).count() == 0:
             return new.drop("moved")
@@ -208,13 +219,13 @@ def buildings(df: DataFrame, id_col: str = "sample_id", address: str = "address_
 
     # roles of words: how often each is a street's name, how often another word of a typed address
     typed = base.where("street is not null").select("rec_id")
-    as_street = streets.join(spelling, "word").groupBy("good").agg(F.count("*").alias("as_street"))
-    good_rest = staged(rest.join(spelling, "word").select("rec_id", "pos", "good"), "address-rest")
-    as_town = good_rest.join(typed, "rec_id", "left_semi").groupBy("good").agg(F.count("*").alias("as_town"))
-    role = as_street.join(as_town, "good", "full").select("good", (F.coalesce("as_street", F.lit(0)) > F.coalesce("as_town", F.lit(0))).alias("is_street"), (F.col("as_town") >= 3).alias("is_town"))
+    as_street = _met(streets, spelling, "word").groupBy("good").agg(F.count("*").alias("as_street"))
+    good_rest = staged(_met(rest, spelling, "word").select("rec_id", "pos", "good"), "address-rest")
+    as_town = _met(good_rest, typed, "rec_id", "left_semi").groupBy("good").agg(F.count("*").alias("as_town"))
+    role = _met(as_street, as_town, "good", "full").select("good", (F.coalesce("as_street", F.lit(0)) > F.coalesce("as_town", F.lit(0))).alias("is_street"), (F.col("as_town") >= 3).alias("is_town"))
 
     # words beside the street make the town; in an address without a type the street is among them
-    worded = good_rest.join(role, "good", "left")
+    worded = _met(good_rest, role, "good", "left")
     in_street = F.coalesce("is_street", F.lit(False))
     sides = worded.groupBy("rec_id").agg(
         F.array_sort(F.collect_list(F.when(~in_street, F.struct("pos", "good")))).alias("town"),  # the words of one address
@@ -223,7 +234,8 @@ def buildings(df: DataFrame, id_col: str = "sample_id", address: str = "address_
         F.array_sort(F.collect_list(F.struct("pos", "good"))).alias("all"),
     )
     words_of = lambda c: F.array_join(F.transform(c, lambda x: x["good"]), " ")
-    named = base.drop("rest").join(spelling.select(F.col("word").alias("street"), F.col("good").alias("good_street")), "street", "left").join(sides, "rec_id", "left")
+    named = _met(base.drop("rest"), spelling.select(F.col("word").alias("street"), F.col("good").alias("good_street")), "street", "left")
+    named = _met(named, sides, "rec_id", "left")
     named = named.select(
         "rec_id", "number", "postcode",
         F.coalesce("good_street", F.col("loose.good")).alias("street"),
@@ -236,7 +248,7 @@ def buildings(df: DataFrame, id_col: str = "sample_id", address: str = "address_
     pairs = named.where("postcode is not null and town is not null").groupBy("postcode", "town").count()
     town_of = pairs.groupBy("postcode").agg(F.min(F.struct((-F.col("count")).alias("n"), "town"))["town"].alias("its_town"))
     towns = named.where("town is not null").groupBy("town").agg(F.count("*").alias("town_rows"))
-    placed = named.join(town_of, "postcode", "left").join(towns, "town", "left")
+    placed = _met(_met(named, town_of, "postcode", "left"), towns, "town", "left")
     rare = F.col("its_town").isNotNull() & (F.coalesce("town_rows", F.lit(0)) < 3)
     locality = F.coalesce(F.when(rare, F.col("its_town")), F.col("town"), F.col("its_town"), F.concat(F.lit("postcode "), F.col("postcode")))
     placed = staged(placed.withColumn("locality", locality).where("locality is not null").select("rec_id", "locality", "postcode", "number", "street", "kind"), "addresses-placed")
@@ -245,16 +257,16 @@ def buildings(df: DataFrame, id_col: str = "sample_id", address: str = "address_
     block = ["locality", "number"]
     values = staged(placed.groupBy(*block, "street", "kind").agg(F.count("*").alias("n")), "address-values")
     merged = _better(values, [*block, "kind"], "street", "n", 1, 4)
-    values = values.join(merged, [*block, "kind", "street"], "left").withColumn("known", F.coalesce("better", "street"))
+    values = _met(values, merged, [*block, "kind", "street"], "left").withColumn("known", F.coalesce("better", "street"))
     # an address without a type takes the only one of its street in the block
     only = values.where("kind <> ''").groupBy(*block, "known").agg(F.countDistinct("kind").alias("kinds"), F.min("kind").alias("only_kind"))
-    values = values.join(only, [*block, "known"], "left")
+    values = _met(values, only, [*block, "known"], "left")
     chosen = F.when((F.col("kind") == "") & (F.col("kinds") == 1), F.col("only_kind")).otherwise(F.col("kind"))
     values = values.select(*block, "street", "kind", F.col("known"), chosen.alias("chosen"))
-    out = placed.join(values, [*block, "street", "kind"])
+    out = _met(placed, values, [*block, "street", "kind"])
     out = staged(out.select(F.col("rec_id").alias("address_key"), "locality", "postcode", "number", F.col("known").alias("street"), F.col("chosen").alias("kind")), "addresses-known")
-    out = out.join(_joined_neighbours(out), ["locality", "number", "street", "kind"], "left").withColumn("locality", F.coalesce("nearby", "locality"))
-    return rows.select("row_id", "address_key").join(out, "address_key").select(F.col("row_id").alias(id_col), "locality", "number", "street", "kind")
+    out = _met(out, _joined_neighbours(out), ["locality", "number", "street", "kind"], "left").withColumn("locality", F.coalesce("nearby", "locality"))
+    return _met(rows.select("row_id", "address_key"), out, "address_key").select(F.col("row_id").alias(id_col), "locality", "number", "street", "kind")
 
 
 def same_building(df: DataFrame, id_col: str = "sample_id", address: str = "address_1") -> DataFrame:
@@ -262,7 +274,7 @@ def same_building(df: DataFrame, id_col: str = "sample_id", address: str = "addr
     b = staged(buildings(df, id_col, address), "buildings")
     key = ["locality", "number", "street", "kind"]
     left, right = b.withColumnRenamed(id_col, "a"), b.withColumnRenamed(id_col, "b")
-    return left.join(right, key).where("a < b").select(F.col("a").alias(f"{id_col}_a"), F.col("b").alias(f"{id_col}_b"))
+    return _met(left, right, key).where("a < b").select(F.col("a").alias(f"{id_col}_a"), F.col("b").alias(f"{id_col}_b"))
 
 
 def building_classes(df: DataFrame, id_col: str = "sample_id", address: str = "address_1") -> DataFrame:
@@ -270,4 +282,4 @@ def building_classes(df: DataFrame, id_col: str = "sample_id", address: str = "a
     b = staged(buildings(df, id_col, address), "buildings")
     key = ["locality", "number", "street", "kind"]
     counted = b.groupBy(*key).agg(F.min(id_col).alias("building"), F.count("*").alias("n"))
-    return b.join(counted, key).select(id_col, "building", "n")
+    return _met(b, counted, key).select(id_col, "building", "n")

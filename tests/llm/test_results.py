@@ -191,6 +191,18 @@ def test_recall_of_the_deletion_index(spark):
     assert met and set(met) <= set(got)
 
 
+def test_addresses_are_joined_without_broadcasts(spark):
+    """What is sent to the driver doesn't grow with the input: an exploded deletion index looks small to the planner."""
+    store, bus = spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+    before = store.executionsCount()
+    rows = [(i, f"{i % 40 + 1} Orchard Street, 54320 Ulmton") for i in range(80)] + [(90, "7 Orchrad Street, Ulmton"), (91, "8 Orchard Street, 54320 Garwick")]
+    df = spark.createDataFrame(rows, "sample_id long, address_1 string")
+    assert addresses.same_building(df).count() > 40 and addresses.building_classes(df).count() == len(rows)
+    bus.waitUntilEmpty(30_000)
+    plans = [store.executionsList().apply(i).physicalPlanDescription() for i in range(before, store.executionsCount())]
+    assert any("SortMergeJoin" in x for x in plans) and not any("Broadcast" in x for x in plans)
+
+
 # 6: names
 
 
