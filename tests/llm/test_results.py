@@ -6,6 +6,7 @@ import string
 
 import pandas as pd
 import pytest
+from py4j.protocol import Py4JError
 from pyspark.sql import functions as F
 
 from maskweave.llm import addresses, formdup, mixing, names, pieces, sanitise, skeleton, spam, tokens
@@ -68,6 +69,18 @@ def test_the_whole_table_of_look_alikes(spark):
     assert {(r.form, r.originals) for r in skeleton.groups(df).collect()} >= {("Ada", 2)}
 
 
+@pytest.mark.parametrize("error", [TypeError("'JavaPackage' object is not callable"), Py4JError("no answer")])
+def test_a_missing_table_of_look_alikes_is_an_error(spark, monkeypatch, error):
+    def fails(jvm):
+        raise error
+
+    monkeypatch.setattr(skeleton, "_prototypes", fails)
+    df = spark.createDataFrame([("\u13aada",), ("Ada",)], "text string")
+    for f in (skeleton.prototypes, lambda _: skeleton.inconsistent(df), lambda _: skeleton.groups(df)):
+        with pytest.raises(RuntimeError, match="look-alikes"):
+            f(spark)
+
+
 # 2: personal items
 
 
