@@ -6,8 +6,11 @@ the positions of the tokens:
 
 * recurrence gaps: whether a word returns within ``GAP`` (``SHORT_GAP``,
   ``LIST_GAP``) tokens;
-* positional autocorrelation: the share of positions in a lag window at which
-  the same word stands ``lag`` tokens on, for lags up to ``LAGS``.
+* positional autocorrelation: the share of positions in a window at which the
+  same word stands ``lag`` tokens before, for each lag beyond ``SHORT_GAP`` (up
+  to it every return is a short gap already) up to ``LAGS``.  Runs of more than
+  ``PHRASE`` tokens that return whole are repeated sentences, as in notices and
+  records, and don't count.
 
 Every token then looks at the ``WINDOW`` tokens around it.  The place is unnatural
 if recurring words, links and hashtags are dense there and function words are
@@ -39,7 +42,8 @@ SHORT_GAP = 8
 #: Gap within which a list without any function words draws on the same few terms.
 LIST_GAP = 48
 WINDOW = 24
-LAGS = 8
+#: Largest lag at which words return regularly, and the longest run of tokens that is a keyword then.
+LAGS, PHRASE = GAP, 4
 #: Shares within a window.
 LIST_DENSE, LIST_FUNCTION_WORDS, BARE_FUNCTION_WORDS = 0.34, 0.17, 0.12
 STUFFED_DENSE, STUFFED_FUNCTION_WORDS = 0.32, 0.4
@@ -179,11 +183,17 @@ def _share(text: str, find) -> float:
     if not (unique.any() or listed_word.any()):
         return 0.0
     regular = _around(word & (nearest <= SHORT_GAP), width)
-    if listed_word.mean() >= LIST_DENSE / 2:
-        for lag in range(1, min(LAGS, n - 1) + 1):
-            same = np.zeros(n)
-            same[lag:] = (ids[lag:] == ids[:-lag]) & word[lag:]
-            np.maximum(regular, _around(same, width), out=regular)
+    if (dense >= STUFFED_DENSE).any():  # what returns at a lag is dense
+        for lag in range(SHORT_GAP + 1, min(LAGS, n - 1) + 1):
+            again = np.zeros(n, bool)
+            again[lag:] = ids[lag:] == ids[:-lag]
+            if np.count_nonzero(again & word) < STUFFED_DENSE * width:
+                continue
+            ends = np.flatnonzero(np.diff(again, prepend=False, append=False))
+            for a, b in zip(ends[::2], ends[1::2], strict=True):
+                if b - a > PHRASE:
+                    again[a:b] = False
+            np.maximum(regular, _around(again & word, width), out=regular)
     listed = (dense >= LIST_DENSE) & (functions <= LIST_FUNCTION_WORDS) | (bare >= LIST_DENSE) & (functions <= BARE_FUNCTION_WORDS)
     stuffed = (regular >= STUFFED_DENSE) & (functions <= STUFFED_FUNCTION_WORDS)
     bad = linked | unique | (listed | stuffed) & (numbers <= MOST_NUMBERS)

@@ -439,6 +439,23 @@ def test_lists_of_distinct_words(text, is_spam):
     assert (spam.unnatural_share(text, find) >= spam.SPAM_SHARE) == is_spam
 
 
+_LINKS = "with our,in the,to all,for your,by any,at its,on no,from this".split(",")
+
+
+@pytest.mark.parametrize(
+    "text, is_spam",
+    [
+        # the keyword stands at every tenth place, too far for a short gap, and no sentence returns
+        (" ".join(f"Cheap label maker refill {_LINKS[i]} {a} {_LINKS[i - 3][:3].strip()} {b} {c}." for i, (a, b, c) in enumerate(zip(_TERMS, _TERMS[10:], _TERMS[20:28]))), True),
+        ("\n".join(f"{i}. {a.title()} {b.title()}: Page 285 is blank except for a stamp from Quarmere Foundation Corporation." for i, (a, b) in enumerate(zip(_TERMS[:9], _TERMS[9:]))), False),
+        ("\n".join(f"Room {i} in the {a} wing is closed for cleaning on {b}." for i, (a, b) in enumerate(zip(_TERMS[:9], _TERMS[9:]))), False),
+    ],
+)
+def test_words_at_regular_distances(text, is_spam):
+    find = re.compile(spam._TOKEN, re.I).findall
+    assert (spam.unnatural_share(text, find) >= spam.SPAM_SHARE) == is_spam
+
+
 def test_queries_have_their_columns(spark):
     from maskweave.llm import queries
 
