@@ -73,15 +73,19 @@ FUNCTION_WORDS = frozenset(
 _TOKEN = r"\[[^\]\n]{0,80}\]\([^)\s]{3,300}\)|<a\s[^>]{0,300}>[^<]{0,100}</a>|(?:https?://|www\.)\S+|#\w[\w-]*|\w+"
 #: Between two tokens: the end of a sentence, a field's name, code.
 _MARK = re.compile(r"[.!?…](?=\s|[\"'»”)]|$)|[:=(){}\\]|[。！？：]")
-_INVISIBLE = dict.fromkeys([0xAD, *range(0x200B, 0x2010), 0x2060, 0xFEFF])
+_INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]+")
 
 
-def _around(x: np.ndarray, width: int) -> np.ndarray:
-    """Mean of x over the window of ``width`` positions around each position; windows at the ends are shifted inwards."""
-    n = len(x)
-    total = np.concatenate([[0], np.cumsum(x)])
-    low = np.clip(np.arange(n) - width // 2, 0, n - width)
-    return (total[low + width] - total[low]) / width
+def _windows(n: int, width: int) -> np.ndarray:
+    """First position of the window of ``width`` positions around each of n; windows at the ends are shifted inwards."""
+    return np.minimum(np.maximum(np.arange(n) - width // 2, 0), n - width)
+
+
+def _around(x: np.ndarray, low: np.ndarray, width: int) -> np.ndarray:
+    """Mean of x over the window of ``width`` positions that begins at ``low``, for each position."""
+    total = np.zeros(len(x) + 1, np.int64)
+    np.cumsum(x, out=total[1:])
+    return ((total[width:] - total[:-width]) / width)[low]
 
 
 def _without_repeats(text: str) -> str:
@@ -106,7 +110,7 @@ def unnatural_share(text: str | None, find) -> float:
     if not text:
         return 0.0
     if not text.isascii():
-        text = unicodedata.normalize("NFKC", text).translate(_INVISIBLE)
+        text = _INVISIBLE.sub("", unicodedata.normalize("NFKC", text))
     share = _share(text, find)
     return _share(_without_repeats(text), find) if share >= DOUBTFUL_SHARE else share
 
@@ -117,11 +121,11 @@ def _marks(text: str, n: int) -> np.ndarray:
     places = np.array([m.start() for m in _MARK.finditer(text)], int)
     token = np.searchsorted(at[:, 0], places, "right") - 1
     after = (token >= 0) & (places >= at[token, 1])  # marks inside links are none
-    marks = np.zeros(n)
-    marks[token[after]] = 1
+    marks = np.zeros(n, bool)
+    marks[token[after]] = True
     lines = [x for x in text.split("\n") if x.strip()]
     columns = {len(re.findall(r"[|\t]", x)) for x in lines}
-    return np.ones(n) if len(lines) > 2 and len(columns) == 1 and 0 not in columns else marks
+    return np.ones(n, bool) if len(lines) > 2 and len(columns) == 1 and 0 not in columns else marks
 
 
 _WORD, _FUNCTION, _NUMBER, _LINK, _TAG = range(5)
@@ -161,7 +165,8 @@ def _share(text: str, find) -> float:
     word, function, number, link, tag = (kinds == k for k in range(5))
     ids = np.where(kinds < _LINK, codes >> 3, -np.arange(1, n + 1))
     # "de" joins the nouns of a keyword
-    function[1:-1] &= ~(word[:-2] & word[2:] & np.array([t in ("de", "De") for t in tokens[1:-1]], bool))
+    if "de" in tokens or "De" in tokens:
+        function[1:-1] &= ~(word[:-2] & word[2:] & np.array([t in ("de", "De") for t in tokens[1:-1]], bool))
     # distance of each token to the nearest equal one before or after
     order = np.argsort(ids, kind="stable")
     never = 1 << 30
@@ -172,31 +177,36 @@ def _share(text: str, find) -> float:
     linked = link | tag
     listed_word = linked | word & (nearest <= LIST_GAP)
     width = min(n, WINDOW)
-    dense, bare = _around(linked | word & (nearest <= GAP), width), _around(listed_word, width)
-    functions, numbers = _around(function, width), _around(number, width)
+    low = _windows(n, width)
+    functions, numbers = _around(function, low, width), _around(number, low, width)
     unique = np.zeros(n, bool)
     if n >= WINDOW:
-        once = _around(word & (nearest >= WINDOW), width)
-        unique = (once >= UNIQUE_WORDS) & (functions <= UNIQUE_FUNCTION_WORDS) & (numbers <= UNIQUE_NUMBERS)
+        unique = (functions <= UNIQUE_FUNCTION_WORDS) & (numbers <= UNIQUE_NUMBERS)
         if unique.any():
-            unique &= _around(_marks(text, n), width) <= UNIQUE_MARKS
+            unique &= _around(word & (nearest >= WINDOW), low, width) >= UNIQUE_WORDS
+        if unique.any():
+            unique &= _around(_marks(text, n), low, width) <= UNIQUE_MARKS
     if not (unique.any() or listed_word.any()):
         return 0.0
-    regular = _around(word & (nearest <= SHORT_GAP), width)
-    if (dense >= STUFFED_DENSE).any():  # what returns at a lag is dense
-        for lag in range(SHORT_GAP + 1, min(LAGS, n - 1) + 1):
-            again = np.zeros(n, bool)
-            again[lag:] = ids[lag:] == ids[:-lag]
-            if np.count_nonzero(again & word) < STUFFED_DENSE * width:
-                continue
-            ends = np.flatnonzero(np.diff(again, prepend=False, append=False))
-            for a, b in zip(ends[::2], ends[1::2], strict=True):
-                if b - a > PHRASE:
-                    again[a:b] = False
-            np.maximum(regular, _around(again & word, width), out=regular)
+    dense, bare = _around(linked | word & (nearest <= GAP), low, width), _around(listed_word, low, width)
     listed = (dense >= LIST_DENSE) & (functions <= LIST_FUNCTION_WORDS) | (bare >= LIST_DENSE) & (functions <= BARE_FUNCTION_WORDS)
-    stuffed = (regular >= STUFFED_DENSE) & (functions <= STUFFED_FUNCTION_WORDS)
-    bad = linked | unique | (listed | stuffed) & (numbers <= MOST_NUMBERS)
+    bad = linked | unique | listed & (numbers <= MOST_NUMBERS)
+    # words that return within a gap or at a lag are dense, so that only these places can be stuffed
+    open_ = ~bad & (dense >= STUFFED_DENSE) & (functions <= STUFFED_FUNCTION_WORDS) & (numbers <= MOST_NUMBERS)
+    if open_.any():
+        stuffed = _around(word & (nearest <= SHORT_GAP), low, width) >= STUFFED_DENSE
+        if (open_ & ~stuffed).any():
+            for lag in range(SHORT_GAP + 1, min(LAGS, n - 1) + 1):
+                again = np.zeros(n, bool)
+                again[lag:] = ids[lag:] == ids[:-lag]
+                if np.count_nonzero(again & word) < STUFFED_DENSE * width:
+                    continue
+                ends = np.flatnonzero(np.diff(again, prepend=False, append=False))
+                for a, b in zip(ends[::2], ends[1::2], strict=True):
+                    if b - a > PHRASE:
+                        again[a:b] = False
+                stuffed |= _around(again & word, low, width) >= STUFFED_DENSE
+        bad |= open_ & stuffed
     weight = 1 + (LINK_WEIGHT - 1) * link + (TAG_WEIGHT - 1) * tag
     return float((bad * weight).sum() / weight.sum())
 
