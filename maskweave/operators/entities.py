@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from maskweave import patterns as P
 from maskweave.operators.detect import denied, kept_out, type_allowed
-from maskweave.session import ranked, staged
+from maskweave.session import ranked, shuffled, staged
 
 ORDER = ("chunk_idx", "stage", "pattern_idx", "match_idx")
 
@@ -39,6 +39,8 @@ def distinct_entities(hits: DataFrame, doc: str = "doc_id") -> DataFrame:
 #: Documents with more entities than this are merged by a join of grams instead of inside one row.
 ROW_ENTITIES = 1_000
 GRAM = 4
+#: Of a form that seeds may contain, about so many grams are looked up among those of the seeds.
+LOOKED_UP = 4
 
 
 def merged_bases(entities: DataFrame, doc: str = "doc_id", seeds: DataFrame | None = None) -> DataFrame:
@@ -52,15 +54,20 @@ def merged_bases(entities: DataFrame, doc: str = "doc_id", seeds: DataFrame | No
     must be as private as the texts.
     """
     kept = staged(entities, "entities")  # read several times, found once
-    if seeds is not None:
-        return _merged_by_grams(kept, doc, seeds)
     large = kept.groupBy(F.col(doc).alias("_large")).count().where(F.col("count") > ROW_ENTITIES).select("_large")
     of_large = F.col(doc).eqNullSafe(F.col("_large"))
-    return _merged_in_rows(kept.join(large, of_large, "left_anti"), doc).unionByName(_merged_by_grams(kept.join(large, of_large, "left_semi"), doc, None))
+    e = kept if seeds is None else kept.withColumn("_was", F.col("base_form"))
+    merged = _merged_in_rows(e.join(large, of_large, "left_anti"), doc).unionByName(_merged_by_grams(e.join(large, of_large, "left_semi"), doc))
+    if seeds is None:
+        return merged
+    n, of_doc = F.length("_old"), F.length("base_form")
+    better = (n > of_doc) | (n == of_doc) & (F.col("_old") < F.col("base_form"))
+    joined = shuffled(merged, _held_by_seeds(kept, seeds), F.col("_was") == F.col("_b"), "left")
+    return staged(joined.select(doc, "ord", "text", "type", F.when(better, F.col("_old")).otherwise(F.col("base_form")).alias("base_form")), "merged")
 
 
 def _merged_in_rows(entities: DataFrame, doc: str) -> DataFrame:
-    one = entities.groupBy(doc).agg(F.collect_list(F.struct("ord", "text", "type", "base_form")).alias("_e"))
+    one = entities.groupBy(doc).agg(F.collect_list(F.struct(*[c for c in entities.columns if c != doc])).alias("_e"))
     forms = F.filter(F.array_distinct(F.transform("_e", lambda e: e["base_form"])), lambda f: f != "")
     by_length = F.transform(F.array_sort(F.transform(forms, lambda f: F.struct((-F.length(f)).alias("n"), f.alias("f")))), lambda x: x["f"])
     one = one.withColumn("_forms", by_length)
@@ -68,37 +75,56 @@ def _merged_in_rows(entities: DataFrame, doc: str) -> DataFrame:
     def merged(e: Column) -> Column:
         b = e["base_form"]
         longer = F.try_element_at(F.filter("_forms", lambda f: (F.length(f) > F.length(b)) & f.contains(b)), F.lit(1))
-        return F.struct(e["ord"].alias("ord"), e["text"].alias("text"), e["type"].alias("type"), F.when(F.coalesce(b, F.lit("")) != "", F.coalesce(longer, b)).otherwise(b).alias("base_form"))
+        return e.withField("base_form", F.when(F.coalesce(b, F.lit("")) != "", F.coalesce(longer, b)).otherwise(b))
 
     return one.select(doc, F.inline(F.transform("_e", merged)))
 
 
-def _merged_by_grams(entities: DataFrame, doc: str, seeds: DataFrame | None) -> DataFrame:
+def _grams(c: str, n: int, step: Column | None = None) -> Column:
+    """The grams of n characters of a column, one at each ``step`` (1); none of a shorter value."""
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - n + 1), F.lit(1) if step is None else step)
+    return F.when(F.length(c) >= n, F.transform(starts, lambda i: F.substr(c, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+
+def _every_gram(c: str) -> Column:
+    """Unfolds the distinct grams of up to GRAM characters."""
+    return F.explode(F.array_distinct(F.concat(*[_grams(c, n) for n in range(1, GRAM + 1)]))).alias("_g")
+
+
+def _merged_by_grams(entities: DataFrame, doc: str) -> DataFrame:
     """The same by a join: what contains a form holds the form's rarest gram too.
 
-    Originals of a seed hold for all documents, so their grams are joined by the gram alone.
+    Grams are many times the forms, which the planner doesn't see, so nothing is broadcast.
     """
-    windows = lambda c, n: F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substr(c, i, F.lit(n)))
-    none = F.array().cast("array<string>")
-    cut = lambda n: F.when(F.length("_f") >= n, windows(F.col("_f"), n)).otherwise(none)
-    cut_all = F.explode(F.array_distinct(F.concat(*[cut(n) for n in range(1, GRAM + 1)]))).alias("_g")
     forms = entities.where("base_form <> ''").select(F.col(doc).alias("_d"), F.col("base_form").alias("_f")).distinct()
-    grams = forms.select("_d", "_f", cut_all)
+    grams = forms.select("_d", "_f", _every_gram("_f"))
     own = grams.where(F.length("_g") == F.least(F.length("_f"), F.lit(GRAM)))  # a form's longest grams
+    counts = grams.groupBy("_d", "_g").agg(F.count("*").alias("_c"))
+    rarest = shuffled(own, counts, ["_d", "_g"]).groupBy("_d", "_f").agg(F.min(F.struct("_c", "_g"))["_g"].alias("_g"))
+    pairs = shuffled(rarest.withColumnRenamed("_f", "_b"), grams, ["_d", "_g"])
+    pairs = pairs.where((F.length("_f") > F.length("_b")) & F.col("_f").contains(F.col("_b")))
+    best = pairs.groupBy("_d", "_b").agg(F.min(F.struct((-F.length("_f")).alias("n"), "_f"))["_f"].alias("_longer"))
+    joined = shuffled(entities, best, (F.col(doc) == F.col("_d")) & (F.col("base_form") == F.col("_b")), "left")
+    return joined.select(*[F.coalesce("_longer", "base_form").alias(c) if c == "base_form" else c for c in entities.columns])
 
-    def containing(holders: DataFrame, keys: list[str]) -> DataFrame:
-        counts = holders.groupBy(*keys).agg(F.count("*").alias("_c"))
-        rarest = own.join(counts, keys, "left").groupBy("_d", "_f").agg(F.min(F.struct(F.coalesce("_c", F.lit(0)).alias("_c"), "_g"))["_g"].alias("_g"))
-        pairs = rarest.withColumnRenamed("_f", "_b").join(holders, keys)
-        return pairs.where((F.length("_f") > F.length("_b")) & F.col("_f").contains(F.col("_b"))).select("_d", "_b", "_f")
 
-    pairs = containing(grams, ["_d", "_g"])
-    if seeds is not None:
-        old = seeds.where("original <> ''").select(F.col("original").alias("_f")).distinct()
-        pairs = pairs.unionByName(containing(old.select("_f", cut_all), ["_g"]))
-    best = pairs.groupBy("_d", "_b").agg(F.min(F.struct((-F.length("_f")).alias("n"), "_f"))["_f"].alias("_longer"))
-    joined = entities.join(best, (F.col(doc) == F.col("_d")) & (F.col("base_form") == F.col("_b")), "left")
-    return joined.select(doc, "ord", "text", "type", F.coalesce("_longer", "base_form").alias("base_form"))
+def _held_by_seeds(entities: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(_b, _old): base forms, whatever their document, with the longest other original of the seeds that contains them.
+
+    What contains a form holds each of its grams, so any of them can be looked
+    up: a few, at even distances, of which the seeds must hold all, and then the
+    originals that hold the rarest one are compared.
+    """
+    forms = entities.where("base_form <> ''").select(F.col("base_form").alias("_b")).distinct()
+    few = lambda n: _grams("_b", n, F.greatest(F.lit(1), F.floor((F.length("_b") - n) / (LOOKED_UP - 1)).cast("int")))
+    looked_up = F.array_distinct(F.when(F.length("_b") >= GRAM, few(GRAM)).otherwise(F.array("_b")))
+    own = forms.select("_b", F.size(looked_up).alias("_all"), F.explode(looked_up).alias("_g"))
+    grams = seeds.where("original <> ''").select(F.col("original").alias("_f")).distinct().select("_f", _every_gram("_f"))
+    counts = grams.groupBy("_g").agg(F.count("*").alias("_c"))
+    rarest = shuffled(own, counts, "_g").groupBy("_b").agg(F.min(F.struct("_c", "_g"))["_g"].alias("_g"), F.count("*").alias("_held"), F.first("_all").alias("_all"))
+    pairs = shuffled(rarest.where("_held = _all").select("_b", "_g"), grams, "_g")
+    pairs = pairs.where((F.length("_f") > F.length("_b")) & F.col("_f").contains(F.col("_b")))
+    return pairs.groupBy("_b").agg(F.min(F.struct((-F.length("_f")).alias("n"), "_f"))["_f"].alias("_old"))
 
 
 def finalised(hits: DataFrame, docs: DataFrame | None = None, doc: str = "doc_id", text: str = "text", types: list[str] | None = None, deny: list[str] | None = None, keep: list[str] | None = None, seeds: DataFrame | None = None, hot: bool = False) -> DataFrame:

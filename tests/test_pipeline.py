@@ -104,6 +104,46 @@ def test_seeds_go_on(spark):
     assert [r.text for r in again.docs.orderBy("doc_id").collect()] == ["EMAIL_8, EMAIL_7, (EMAIL_7)", "EMAIL_8"]
 
 
+def broadcast(spark, run):
+    """The names of the steps that led to each broadcast of what ``run`` does."""
+    store, bus = spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+    bus.waitUntilEmpty(30_000)
+    before = store.executionsCount()
+    out = run()
+    bus.waitUntilEmpty(30_000)
+    led = []
+    for x in (store.executionsList().apply(i).executionId() for i in range(before, store.executionsCount())):
+        graph = store.planGraph(x)
+        nodes, edges = ([each.apply(i) for i in range(each.size())] for each in (graph.allNodes().toList(), graph.edges().toList()))
+        names, children = {n.id(): n.name() for n in nodes}, {}
+        for e in edges:
+            children.setdefault(e.toId(), []).append(e.fromId())
+        for n in names:
+            if "BroadcastExchange" in names[n]:
+                below = list(children.get(n, []))
+                for b in below:
+                    below += children.get(b, [])
+                led.append({names[b].split(" ")[0] for b in below})
+    return out, led
+
+
+def test_seeds_are_base_forms_without_broadcasts_of_grams(spark, monkeypatch):
+    """The longest of the document's forms and the seed's originals counts; the grams are many times what the planner knows of."""
+    rng = random.Random(11)
+    word = lambda most: "".join(rng.choices("ab1é", k=rng.randint(1, most)))
+    rows = [(d, i, t, "A", t) for d in range(20) for i, t in enumerate(dict.fromkeys(word(9) for _ in range(25)), 1)]
+    old = {word(14): f"A_{i}" for i in range(60)} | {rows[0][2]: "A_90", "": "A_91"}
+    by_doc = {}
+    for d, _, t, *_ in rows:
+        by_doc.setdefault(d, []).append(t)
+    for most in (entities.ROW_ENTITIES, 3):
+        monkeypatch.setattr(entities, "ROW_ENTITIES", most)
+        got, led = broadcast(spark, lambda: entities.merged_bases(frame(spark, rows), seeds=seed_table(spark, old)).collect())
+        assert len(got) == len(rows)
+        assert all(r.base_form == min([x for x in [*by_doc[r.doc_id], *old] if x != r.text and r.text in x], key=lambda x: (-len(x), x), default=r.text) for r in got)
+        assert not any("Generate" in x for x in led)
+
+
 def test_a_hot_document_is_spread(spark):
     """Numbers of a document with a third of all rows, made in ranges of keys, are those of one window."""
     rows = [(1 if i % 3 == 0 else 2 + i % 40, i, f"t{i}", "AB"[i % 2], f"t{i - i % 5}") for i in range(3000)]
