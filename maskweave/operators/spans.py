@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from maskweave.session import shuffled
+
 
 def _wordy(c: str) -> bool:
     return c.isalnum() or c == "_"
@@ -98,7 +100,7 @@ def rewritten(docs: DataFrame, mapping: DataFrame, doc: str = "doc_id", text: st
     side = side.select(doc, F.transform("_m", lambda x: x["original"]).alias("_o"), F.transform("_m", lambda x: x["written"]).alias("_w"), F.transform(F.filter("_m", lambda x: x["seen"]), lambda x: x["original"]).alias("_n"))
     if entities is not None:
         names = entities.where("text <> ''").groupBy(doc).agg(F.collect_set("text").alias("_names"))
-        side = names.join(side.drop("_n"), doc, "left").withColumnRenamed("_names", "_n")
+        side = shuffled(names, side.drop("_n"), doc, "left").withColumnRenamed("_names", "_n").hint("merge")  # of staged tables
     side = side.withColumnRenamed(doc, "_sd")
     joined = docs.join(side, docs[doc] == F.col("_sd"), "left")
     new = run(F.col(text), F.col("_n"), F.col("_o"), F.col("_w"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from maskweave import model as M
 from maskweave.config import Config, profile
 from maskweave.operators import chunking, detect, entities, mapping, residual, restore, risk, spans, tables
-from maskweave.session import by_key, spread, staged
+from maskweave.session import by_key, shuffled, spread, staged
 
 
 @dataclass(frozen=True)
@@ -67,7 +67,7 @@ def anonymize(
     if seed is None:
         return Masked(spans.rewritten(docs, mapped, doc, text), mapped, found, answers)
     mapped = staged(mapped, "seeded-map")
-    old = found.select(doc, F.col("text").alias("original")).join(seed, "original").select(doc, "original", "written")
+    old = shuffled(found.select(doc, F.col("text").alias("original")), seed, "original").select(doc, "original", "written")
     return Masked(spans.rewritten(docs, mapped.select(doc, "original", "written").unionByName(old), doc, text, found), mapped, found, answers)
 
 

@@ -144,6 +144,15 @@ def test_seeds_are_base_forms_without_broadcasts_of_grams(spark, monkeypatch):
         assert not any("Generate" in x for x in led)
 
 
+def test_masking_after_a_seed_broadcasts_no_maps(spark):
+    """Maps of documents are read from staged tables, which look small to the planner; none is sent to the driver."""
+    seed = seed_table(spark, {"c@d.org": "EMAIL_7", "xc@d.org": "EMAIL_8"})
+    run = lambda: pipeline.anonymize(docs(spark, "a@b.org, c@d.org, (c@d.org)", "x@y.org", None, "none"), seed=seed).docs.orderBy("doc_id").collect()
+    got, led = broadcast(spark, run)
+    assert [r.text for r in got] == ["EMAIL_9, EMAIL_7, (EMAIL_7)", "EMAIL_9", None, "none"]
+    assert not any({"Generate", "ObjectHashAggregate"} & x for x in led)
+
+
 def test_a_hot_document_is_spread(spark):
     """Numbers of a document with a third of all rows, made in ranges of keys, are those of one window."""
     rows = [(1 if i % 3 == 0 else 2 + i % 40, i, f"t{i}", "AB"[i % 2], f"t{i - i % 5}") for i in range(3000)]
